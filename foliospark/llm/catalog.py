@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import chat, exact_dedup, language_id, licenses, mixing, near_join, packing, quality
+from foliospark.llm import chat, exact_dedup, flac, html_extract, language_id, licenses, mixing, near_join, packing, quality
 from foliospark.llm.runtime import table
 
 
@@ -19,6 +19,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.Join(table(spark, sf_dir, "documents")).pairs()
 
@@ -31,6 +36,10 @@ def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(table(spark, sf_dir, "documents"), WEIGHTS).schedule()
 
 
+def op7_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.decode_media(flac.media_of(table(spark, sf_dir, "embeddings")))
+
+
 def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,9 +59,11 @@ WEIGHTS = {"src0": 4.0}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_html_extraction": op3_html_extraction,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_license_scans": op5_license_scans,
     "op6_mixing_weights": op6_mixing_weights,
+    "op7_media_flac": op7_media_flac,
     "op8_bestfit_packing": op8_bestfit_packing,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
