@@ -85,7 +85,7 @@ def sketches(df: DataFrame, n: int, threshold: float, tokens: int, runs: int, se
                 hashes = set_hashes(values, np.append(at, bounds[-1]))
                 pick = np.searchsorted(filled, some)
                 least, hashes = mix(least[pick] + factors), hashes[pick]
-                sketch = (least >> U(32)).astype(np.uint32)
+                sketch = (least >> U(56)).astype(np.uint8)  # a byte of each token: 1 in 256 agree by chance, which only lets more through
                 paths, ends = [], [0]
                 drawn = [mix(least ^ s) for s in starts]
                 chosen = np.concatenate(drawn, axis=1)
@@ -278,7 +278,7 @@ class Join:
         def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+                    sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                     child, row = split(batch.column(0).to_numpy(), sketch, threshold)
                     took = pa.array(row)
                     depth = pa.array(batch.column(3).to_numpy()[row] + 1, pa.int32())
@@ -304,7 +304,7 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table, bounds in whole_groups(batches, 1):
                 path, doc, depth = (table.column(c).to_numpy() for c in (0, 1, 3))
-                sketch = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint32).reshape(len(doc), -1)
+                sketch = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(doc), -1)
                 sizes = np.diff(bounds)
                 two = bounds[:-1][sizes == 2]
                 near = (sketch[two] == sketch[two + 1]).sum(axis=1) >= least
