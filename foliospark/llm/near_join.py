@@ -250,6 +250,53 @@ def block_pairs(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thres
     return ids[x], ids[y], score[x, y].astype(np.float64) if not len(x) else (shared[x, y].astype(np.int64) / union[x, y].astype(np.int64))
 
 
+PAIRS = "doc_a long, doc_b long, jaccard double, several boolean"
+
+
+def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Bounds and values of a list column in one piece."""
+    flat = column.chunk(0)
+    return flat.offsets.to_numpy(), flat.values
+
+
+AT_ONCE = 1 << 16
+
+
+def across(x: np.ndarray, y: np.ndarray, score: np.ndarray, first: np.ndarray, docs: np.ndarray, several: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of documents for pairs of sets: every member of the one with every member of the other."""
+    m, n = (first[x + 1] - first[x]).astype(np.int64), (first[y + 1] - first[y]).astype(np.int64)
+    many = m * n
+    ends = np.cumsum(many)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+        k = np.arange(a, min(a + AT_ONCE, int(ends[-1])))
+        pair = np.searchsorted(ends, k, "right")
+        k = k - (ends[pair] - many[pair])
+        p, q = first[x[pair]] + k // n[pair], first[y[pair]] + k % n[pair]
+        yield _pairs(docs[p], docs[q], score[pair], several[p] | several[q])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, score: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
+    columns = [np.minimum(a, b), np.maximum(a, b), score, several]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_a", "doc_b", "jaccard", "several"])
+
+
+def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each row's members."""
+    for batch in batches:
+        held, size = [], 0
+        for row in batch.column(0):
+            docs, several = row.values.field("doc_id").to_numpy(), row.values.field("several").to_numpy(zero_copy_only=False)
+            for k in range(len(docs) - 1):
+                rest = len(docs) - 1 - k
+                held.append((np.full(rest, docs[k]), docs[k + 1 :], np.ones(rest), several[k + 1 :] | several[k]))
+                size += rest
+                if size >= AT_ONCE:
+                    yield _pairs(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield _pairs(*map(np.concatenate, zip(*held)))
+
+
 class Join:
     """Chosen-path join of a table's texts; see above. Results of the stages are tables in the shared folder."""
 
@@ -260,13 +307,15 @@ class Join:
         self.least = max(1, int(np.ceil((threshold - slack) * tokens)))
         self.runs = runs_for(recall, threshold, tokens, max_depth)
         self.sketches = materialize(sketches(df, n, threshold, tokens, self.runs, seed, text, key))
-        # Equal sets are one: the member with the least doc_id stands for them.
-        by_set = self.sketches.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
-        self.reps = materialize(by_set)
+        sets = self.sketches.groupBy("doc_id").agg(F.collect_set("set_hash").alias("sets"))
+        self.documents = materialize(sets.select("doc_id", F.explode("sets").alias("set_hash"), (F.size("sets") > 1).alias("several")))
+        # Of equal sets the member with the least doc_id stands for all.
+        by_set = self.sketches.groupBy("set_hash").agg(F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+        self.reps = materialize(by_set.join(self.documents.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "set_hash"))
 
     def members(self) -> DataFrame:
-        """(set_hash, rep, doc_id) of the sets that several documents have."""
-        return self.sketches.select("set_hash", "doc_id").distinct().join(self.reps.select("set_hash", "rep"), "set_hash")
+        """(set_hash, rep, doc_id) of every document."""
+        return self.documents.join(self.reps.select("set_hash", "rep"), "set_hash")
 
     def buckets(self) -> DataFrame:
         """(path, doc, sketch, depth) of every bucket with two sets or more, none larger than `local` unless at the last depth."""
@@ -319,16 +368,20 @@ class Join:
         return held.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long").where("a <> b")
 
     def set_pairs(self, forest: bool = False) -> DataFrame:
-        """(rep_a, hash_a, rep_b, hash_b, jaccard) of different sets at or over the threshold; forest: only as many as connect them."""
+        """(doc_a, doc_b, jaccard, several) of documents of different sets at or over the threshold; forest: of their representatives, only as many as connect them."""
         n, threshold = self.n, self.threshold
         parts = connected(self.links())
         sets = self.reps.select("rep", "set_hash").join(parts.select(F.col("node").alias("rep"), F.col("root")), "rep")
-        sets = materialize(sets)
+        if forest:
+            sets = sets.withColumn("members", F.array(F.struct(F.col("rep").alias("doc_id"), F.lit(False).alias("several"))))
+        else:
+            sets = self.documents.join(sets, "set_hash").groupBy("set_hash", "rep", "root").agg(F.collect_list(F.struct("doc_id", "several")).alias("members"))
+        sets = materialize(sets.select("rep", "set_hash", "root", "members"))
         sizes = sets.groupBy("root").agg(F.ceil(F.count("*") / F.lit(self.block)).cast("int").alias("blocks"))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets, _ = utf8(batch.column(4))
+                data, offsets, _ = utf8(batch.column(5))
                 wanted = batch.column(1).to_numpy()
                 for i, j, values, bounds in gram_sets(data, offsets, n):
                     size = np.diff(bounds)
@@ -339,22 +392,22 @@ class Join:
                     hashes[filled] = set_hashes(values, np.append(bounds[filled], bounds[-1]))
                     own = (size > 0) & (hashes.view(np.int64) == wanted[i:j])  # another version of the document may have come along
                     for r in np.flatnonzero(own):
-                        yield pa.RecordBatch.from_arrays([batch.column(c)[i + r : i + r + 1] for c in range(4)] + [int64_list(values[bounds[r] : bounds[r + 1]].view(np.int64), np.array([0, size[r]]))], ["rep", "set_hash", "root", "blocks", "grams"])
+                        yield pa.RecordBatch.from_arrays([batch.column(c)[i + r : i + r + 1] for c in range(5)] + [int64_list(values[bounds[r] : bounds[r + 1]].view(np.int64), np.array([0, size[r]]))], ["rep", "set_hash", "root", "members", "blocks", "grams"])
 
         texts = self.df.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text"))
-        found = sets.join(sizes, "root").join(texts, "rep").select("rep", "set_hash", "root", "blocks", "text")
-        grams = found.mapInArrow(read, "rep long, set_hash long, root long, blocks int, grams array<long>")
+        found = sets.join(sizes, "root").join(texts, "rep").select("rep", "set_hash", "root", "members", "blocks", "text")
+        grams = found.mapInArrow(read, "rep long, set_hash long, root long, members array<struct<doc_id:long,several:boolean>>, blocks int, grams array<long>")
         own = F.pmod(F.xxhash64("rep", "set_hash"), F.col("blocks")).cast("int")
         tasks = grams.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        tasks = tasks.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "set_hash", "grams")
+        tasks = tasks.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "set_hash", "grams", "members")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table, bounds in whole_groups(batches, 3):
                 table = table.combine_chunks()
                 p, q, side, rep, hashes = (table.column(c).to_numpy() for c in range(1, 6))
-                flat = table.column(6).chunk(0)
-                edges, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(U)
-                out = []
+                edges, values = lists(table.column(6))
+                values = values.to_numpy().view(U)
+                first, docs = lists(table.column(7))
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     if b - a < 2:
                         continue
@@ -362,30 +415,25 @@ class Join:
                     if len(set(hashes[a:b].tolist())) < b - a:  # repeated rows
                         at = a + np.sort(np.unique(np.stack([rep[a:b], hashes[a:b]]), axis=1, return_index=True)[1])
                     x, y, score = block_pairs(at, side[at], [values[edges[r] : edges[r + 1]] for r in at], threshold, forest, p[a] != q[a])
-                    out.append((x, y, score))
-                if out:
-                    x, y, score = (np.concatenate(z) for z in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(hashes[x]), pa.array(rep[y]), pa.array(hashes[y]), pa.array(score)], ["rep_a", "hash_a", "rep_b", "hash_b", "jaccard"])
+                    yield from across(x, y, score, first, docs.field("doc_id").to_numpy(), docs.field("several").to_numpy(zero_copy_only=False))
 
-        schema = "rep_a long, hash_a long, rep_b long, hash_b long, jaccard double"
-        return tasks.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compare, schema)
+        return tasks.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compare, PAIRS)
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair found, copies with Jaccard 1 among them.
 
         The output has a row for each pair, so groups of m copies give m(m-1)/2 rows.
         """
-        members = materialize(self.sketches.select("set_hash", "doc_id").distinct())
-        a, b = (members.select(F.col("set_hash").alias(f"hash_{s}"), F.col("doc_id").alias(f"doc_{s}")) for s in "ab")
-        across = self.set_pairs().join(a, "hash_a").join(b, "hash_b").select("doc_a", "doc_b", "jaccard").where("doc_a <> doc_b")
-        across = across.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-        within = a.join(b.withColumnRenamed("hash_b", "hash_a"), "hash_a").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-        return across.unionByName(within).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+        same = self.documents.groupBy("set_hash").agg(F.collect_list(F.struct("doc_id", "several")).alias("members")).where(F.size("members") > 1).select("members")
+        found = materialize(self.set_pairs().unionByName(same.mapInArrow(within, PAIRS)))
+        # Only documents of several versions can meet more than once, or themselves.
+        again = found.where("several and doc_a <> doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+        return found.where("not several").select("doc_a", "doc_b", "jaccard").unionByName(again)
 
     def dropped(self) -> DataFrame:
         """(doc_id, kept): documents that go when of each group of pairs, taken together as far as they connect, the least doc_id stays."""
         members = self.members().where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        links = self.set_pairs(forest=True).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(members)
+        links = self.set_pairs(forest=True).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).unionByName(members)
         return connected(links).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept"))
 
 
