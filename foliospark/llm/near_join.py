@@ -260,6 +260,30 @@ def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 
 AT_ONCE = 1 << 16
+FILTER_BITS = 1 << 25
+
+
+def only_ids(df: DataFrame, ids: DataFrame, key: str = "rep") -> DataFrame:
+    """The rows of df (key, text) whose key may be in ids, so that a join need not move all the others.
+
+    A bitmap of FILTER_BITS at most (4 MB), whatever the number of ids: with very many it lets more
+    through, never less, and the join that follows is what decides.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    parts = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        piece = np.frombuffer(bytes(r.bits), np.uint8)
+        start = (r.part - 1) * len(piece)
+        bitmap[start : start + len(piece)] = piece
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(2).to_numpy(zero_copy_only=False) - 1
+            keep = (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+
+    return df.where(F.col(key).isNotNull()).select(key, "text", at.alias("at")).mapInArrow(run, f"{key} long, text string")
 
 
 def across(x: np.ndarray, y: np.ndarray, score: np.ndarray, first: np.ndarray, docs: np.ndarray, several: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -394,7 +418,7 @@ class Join:
                     for r in np.flatnonzero(own):
                         yield pa.RecordBatch.from_arrays([batch.column(c)[i + r : i + r + 1] for c in range(5)] + [int64_list(values[bounds[r] : bounds[r + 1]].view(np.int64), np.array([0, size[r]]))], ["rep", "set_hash", "root", "members", "blocks", "grams"])
 
-        texts = self.df.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text"))
+        texts = only_ids(self.df.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text")), sets)
         found = sets.join(sizes, "root").join(texts, "rep").select("rep", "set_hash", "root", "members", "blocks", "text")
         grams = found.mapInArrow(read, "rep long, set_hash long, root long, members array<struct<doc_id:long,several:boolean>>, blocks int, grams array<long>")
         own = F.pmod(F.xxhash64("rep", "set_hash"), F.col("blocks")).cast("int")
