@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as X
 from foliospark.operators import packing as P
 from foliospark.operators.classify import hierarchy_level
-from foliospark.operators.grouping import PAGE, chunk_order, islands, near, place_order, same_confidence, same_list, same_paragraph
+from foliospark.operators.grouping import PAGE, chunk_order, islands, near, order_key, same_confidence, same_list, same_paragraph
 from foliospark.schema import ChunkerConfig
 
 FIELDS = ["region_id", "text", "confidence", "region_type", "reading_order", "x1", "y1", "x2", "y2"]
@@ -37,39 +37,36 @@ def _ordered(regions: DataFrame, keys: list[str], order: list[Column], name: str
 
 def layout_chunks(regions: DataFrame, config: ChunkerConfig = ChunkerConfig(), tables: DataFrame | None = None) -> DataFrame:
     """Chunks by structure. tables: (doc_id, page_number, table_idx, text, x1, y1, x2, y2), each a chunk if long enough."""
-    kept = optional(regions).where(F.col("confidence") >= config.confidence_threshold)
-    kind = F.when(F.col("region_type").isin(*[b for b in BUCKETS if b != "other"]), F.col("region_type")).otherwise("other")
-    kept = kept.withColumn("bucket", kind)
-    kept = _ordered(kept, [*PAGE, "bucket"], chunk_order(config.zero_is_missing))
-    stripped = F.length(F.trim("text"))
-    short = (stripped < config.max_header_chunk_size) & F.lit(config.preserve_headers)
-    alone = (
-        ((F.col("bucket") == "header") & ((stripped >= config.min_chunk_size) | ~short)) | (F.col("bucket").isin("title", "caption") & (stripped >= config.min_chunk_size))
-    )
-    if not config.preserve_lists:
-        alone = alone | ((F.col("bucket") == "list") & (stripped >= config.min_chunk_size))
-    single = P.collect_items(kept.where(alone).withColumn("group_no", F.col("pos")), [*PAGE, "bucket", "group_no"], F.col("pos"), ALL_FIELDS).withColumn("chunk_no", F.lit(0)).withColumn("kind", F.lit("whole"))
-    footers = P.collect_items(kept.where("bucket = 'footer'").withColumn("group_no", F.lit(0)), [*PAGE, "bucket", "group_no"], F.col("pos"), ALL_FIELDS)
-    footers = footers.where(P.content_length(F.col("items")) >= config.min_chunk_size).withColumn("chunk_no", F.lit(0)).withColumn("kind", F.lit("whole"))
-
-    paragraphs = islands(kept.where("bucket = 'paragraph'"), PAGE, [F.col("pos")], same_paragraph)
+    c = F.col
+    kept = optional(regions).where(c("confidence") >= config.confidence_threshold)
+    kept = kept.withColumn("bucket", F.when(c("region_type").isin(*[b for b in BUCKETS if b != "other"]), c("region_type")).otherwise("other"))
+    # One pass over a page for all buckets: regions outside of them go by place alone.
+    order = [F.when(c("bucket") == "other", F.lit(0.0)).otherwise(order_key(zero_is_missing=config.zero_is_missing)), c("y1"), c("x1"), c("line_no")]
+    kept = _ordered(kept, [*PAGE, "bucket"], order)
+
+    def joined(p: str, q: str) -> Column:
+        lists = same_list(p, q) if config.preserve_lists else F.lit(False)
+        return F.when(c("bucket") == "paragraph", same_paragraph(p, q)).when(c("bucket") == "list", lists).when(c("bucket") == "other", near(p, q)).otherwise(c("bucket") == "footer")
+
+    runs = islands(kept, [*PAGE, "bucket"], [c("pos")], joined)
     if config.preserve_headers:
-        # Only the last short header of a page is kept; it opens the page's first group of paragraphs.
-        last = kept.where((F.col("bucket") == "header") & short).withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.col("pos").desc()))).where("_n = 1").drop("_n")
-        opener = last.withColumn("pos", F.lit(0)).withColumn("group_no", F.lit(0)).withColumn("bucket", F.lit("paragraph"))
-        paragraphs = paragraphs.unionByName(opener.join(paragraphs.select(*PAGE).distinct(), PAGE, "left_semi"))
-    grouped = paragraphs
-    if config.preserve_lists:
-        grouped = grouped.unionByName(islands(kept.where("bucket = 'list'"), PAGE, [F.col("pos")], same_list))
-    others = _ordered(kept.where("bucket = 'other'"), PAGE, place_order())
-    grouped = grouped.unionByName(islands(others, PAGE, [F.col("pos")], near))
-    items = P.collect_items(grouped, [*PAGE, "bucket", "group_no"], F.col("pos"), ALL_FIELDS)
+        # Only the last short header of a page is kept; it opens the page's first group of paragraphs as well.
+        page = Window.partitionBy(*PAGE)
+        short = (c("bucket") == "header") & (F.length(F.trim("text")) < config.max_header_chunk_size)
+        opens = short & (c("pos") == F.max(F.when(short, c("pos"))).over(page)) & F.max(c("bucket") == "paragraph").over(page)
+        own = F.struct(c("bucket").alias("b"), c("pos").alias("p"), c("group_no").alias("g"))
+        first = F.struct(F.lit("paragraph").alias("b"), F.lit(0).alias("p"), F.lit(0).alias("g"))
+        placed = runs.withColumn("opens", opens).withColumn("at", F.explode(F.when(c("opens"), F.array(own, first)).otherwise(F.array(own))))
+        runs = placed.withColumn("bucket", c("at.b")).withColumn("pos", c("at.p")).withColumn("group_no", c("at.g")).drop("at", "opens")
+    items = P.collect_items(runs, [*PAGE, "bucket", "group_no"], c("pos"), ALL_FIELDS).withColumn("length", P.content_length(c("items")))
+    whole = c("bucket").isin("header", "title", "caption", "footer") | (F.lit(not config.preserve_lists) & (c("bucket") == "list"))
+    kept_always = (c("bucket") == "header") & (~F.lit(config.preserve_headers) | (c("length") >= config.max_header_chunk_size))
+    items = items.where(~whole | (c("length") >= config.min_chunk_size) | kept_always)
     raw = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["raw"]) + F.size("items") - 1
-    split = P.pack(items.where("bucket <> 'list'"), config.chunk_size, config.chunk_overlap, config.min_chunk_size)
-    lists = P.pack(items.where("bucket = 'list'"), config.chunk_size, 0, config.min_chunk_size, raw)
-    chunks = single.unionByName(footers).unionByName(split).unionByName(lists.select(split.columns))
-    rank = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket")).cast("int")
-    chunks = chunks.withColumn("bucket_rank", rank).withColumn("strip", ~((F.col("bucket") == "list") & (F.col("kind") == "whole")) | ~F.lit(config.preserve_lists))
+    fits = whole | (F.when(c("bucket") == "list", raw).otherwise(c("length")) <= config.chunk_size)
+    chunks = P.pack(items, config.chunk_size, F.when(c("bucket") == "list", 0).otherwise(config.chunk_overlap), config.min_chunk_size, fits).drop("length")
+    rank = F.array_position(F.array(*map(F.lit, BUCKETS)), c("bucket")).cast("int")
+    chunks = chunks.withColumn("bucket_rank", rank).withColumn("strip", ~((c("bucket") == "list") & (c("kind") == "whole") & F.lit(config.preserve_lists)))
     if tables is not None and config.preserve_tables:
         chunks = chunks.unionByName(table_items(tables, config))
     described = describe(chunks, config, "layout_aware")

@@ -23,8 +23,8 @@ def content_length(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["n"]) + F.size(items) - 1
 
 
-def ranges(items: Column, size: int, overlap: int) -> Column:
-    """Array of (s, e): the chunks' places, from s up to e, e left out.
+def ranges(items: Column, size: int, overlap: Column) -> Column:
+    """Array of (s, e, k): the chunks' places, from s up to e, e left out; k is 1 for the last.
 
     A chunk closes when the next row would take it over the size; the next begins with as many
     rows of its end as fit the overlap. A row over the size is a chunk by itself, never cut.
@@ -34,30 +34,30 @@ def ranges(items: Column, size: int, overlap: int) -> Column:
     start = F.struct(F.array().cast("array<struct<s:int,e:int,k:int>>").alias("done"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("len"))
 
     def suffix(acc: Column, x: Column) -> Column:
-        """How many of the held rows, from the end, fit the overlap."""
+        """How many of the held rows, from the end, fit the overlap, and their length."""
         held = F.reverse(F.slice(items, acc["s"] + 1, x["i"] - acc["s"]))
-        zero = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("stop"))
+        zero = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("chars"), (overlap <= 0).alias("stop"))
         fit = lambda a, r: ~a["stop"] & (a["chars"] + r["raw"] <= overlap)
-        return F.aggregate(held, zero, lambda a, r: F.struct((a["k"] + fit(a, r).cast("int")).alias("k"), (a["chars"] + F.when(fit(a, r), r["raw"]).otherwise(F.lit(0).cast("long"))).alias("chars"), (~fit(a, r)).alias("stop")))
+        return F.aggregate(held, zero, lambda a, r: F.when(fit(a, r), F.struct((a["k"] + 1).alias("k"), (a["chars"] + r["raw"]).alias("chars"), F.lit(False).alias("stop"))).otherwise(F.struct(a["k"].alias("k"), a["chars"].alias("chars"), F.lit(True).alias("stop"))))
 
     def step(acc: Column, x: Column) -> Column:
         flush = (acc["len"] + x["n"] > size) & (x["i"] > acc["s"])
         closed = F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), x["i"].alias("e"), F.lit(0).alias("k"))))
-        if overlap <= 0:
-            return F.struct(F.when(flush, closed).otherwise(acc["done"]).alias("done"), F.when(flush, x["i"]).otherwise(acc["s"]).alias("s"), F.when(flush, x["n"]).otherwise(acc["len"] + x["n"]).alias("len"))
-        keep = suffix(acc, x)
-        return F.struct(F.when(flush, closed).otherwise(acc["done"]).alias("done"), F.when(flush, x["i"] - keep["k"]).otherwise(acc["s"]).alias("s"), F.when(flush, keep["chars"] + x["raw"]).otherwise(acc["len"] + x["n"]).alias("len"))
+        # The suffix is worked out once, for the step's new state, and only where a chunk closes.
+        opened = F.transform(F.array(suffix(acc, x)), lambda k: F.struct(closed.alias("done"), (x["i"] - k["k"]).alias("s"), (k["chars"] + F.when(overlap > 0, x["raw"]).otherwise(x["n"])).alias("len")))[0]
+        return F.when(flush, opened).otherwise(F.struct(acc["done"].alias("done"), acc["s"].alias("s"), (acc["len"] + x["n"]).alias("len")))
 
     return F.aggregate(indexed, start, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), n.alias("e"), F.lit(1).alias("k")))))
 
 
-def pack(groups: DataFrame, size: int, overlap: int, min_size: int, whole_length: Column | None = None) -> DataFrame:
+def pack(groups: DataFrame, size: int, overlap: Column | int, min_size: int, fits: Column | None = None) -> DataFrame:
     """Chunks of each group: chunk_no, kind (whole, split or final) and the chunk's items.
 
     A group that fits is one chunk, however small; of one that was split, a last chunk under
     min_size is dropped.
     """
-    fits = (whole_length if whole_length is not None else content_length(F.col("items"))) <= size
+    overlap = F.lit(overlap) if isinstance(overlap, int) else overlap
+    fits = fits if fits is not None else content_length(F.col("items")) <= size
     one = F.array(F.struct(F.lit(0).alias("s"), F.size("items").alias("e"), F.lit(2).alias("k")))
     cut = groups.withColumn("range", F.when(fits, one).otherwise(ranges(F.col("items"), size, overlap)))
     each = cut.select("*", F.posexplode("range").alias("chunk_no", "r")).drop("range")
