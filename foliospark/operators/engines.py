@@ -6,13 +6,14 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from importlib.util import find_spec
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
 
 REGION_SCHEMA = "doc_id long, page_number int, line_no int, text string, confidence double, x1 double, y1 double, x2 double, y2 double, error string"
+REGION_ARROW = pa.schema([("doc_id", pa.int64()), ("page_number", pa.int32()), ("line_no", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in ("confidence", "x1", "y1", "x2", "y2")], ("error", pa.string())])
 DEFAULTS = {
     "tesseract": {"language": "eng", "page_segmentation_mode": 6, "engine_mode": 3},
     "easyocr": {"languages": ["en"]},
@@ -40,20 +41,19 @@ class RegionSource(ABC):
 def recognize(pages: DataFrame, make: Callable[[], RegionSource]) -> DataFrame:
     """Regions of all pages. A page that fails gives one row with the error and nothing else."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = make()
         for batch in batches:
             rows = []
-            for page in batch.to_dict("records"):
+            for page in batch.to_pylist():
                 base = {"doc_id": page["doc_id"], "page_number": page["page_number"]}
                 try:
-                    rows += [base | {"line_no": k, "error": None} | r for k, r in enumerate(source.read(page))]
+                    rows += [base | {"line_no": k} | r for k, r in enumerate(source.read(page))]
                 except Exception as e:  # a page that can't be read is a result, not the end of the job
                     rows.append(base | {"error": f"{type(e).__name__}: {e}"})
-            names = [f.split()[0] for f in REGION_SCHEMA.split(", ")]
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, REGION_ARROW)
 
-    return pages.mapInPandas(run, REGION_SCHEMA)
+    return pages.mapInArrow(run, REGION_SCHEMA)
 
 
 class PrecomputedSource(RegionSource):
@@ -62,7 +62,7 @@ class PrecomputedSource(RegionSource):
     name = "precomputed"
 
     def read(self, page: dict) -> list[dict]:
-        return [dict(r.asDict() if hasattr(r, "asDict") else r) for r in page["regions"]]
+        return [dict(r) for r in page["regions"]]
 
 
 _factories: dict[str, Callable[..., RegionSource]] = {"precomputed": PrecomputedSource}

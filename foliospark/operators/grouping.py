@@ -34,7 +34,8 @@ def islands(df: DataFrame, keys: list[str], order: list[Column], joined: Callabl
     seen = df
     for f in fields:
         seen = seen.withColumn(f"prev_{f}", F.lag(f).over(w))
-    seen = seen.withColumn("_break", F.when(F.coalesce(joined("prev_", ""), F.lit(False)), 0).otherwise(1))
+    # least() and greatest() pass over nulls, so the first row has to be told apart by itself.
+    seen = seen.withColumn("_break", F.when(F.lag(F.lit(1)).over(w).isNotNull() & F.coalesce(joined("prev_", ""), F.lit(False)), 0).otherwise(1))
     return seen.withColumn(name, (F.sum("_break").over(w) - 1).cast("int")).drop("_break", *[f"prev_{f}" for f in fields])
 
 

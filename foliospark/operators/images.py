@@ -77,7 +77,7 @@ def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
 
 def skew(image: np.ndarray, limit: float = 10, step: float = 0.5) -> float:
     """Angle at which the rows of dark pixels stand out most."""
-    dark = (gray(image) < otsu(image)).astype(float)
+    dark = (gray(image) <= otsu(image)).astype(float)
     angles = np.arange(-limit, limit + step, step)
     return float(max(angles, key=lambda a: (np.var(rotate(dark, a).sum(axis=1)), -abs(a))))
 

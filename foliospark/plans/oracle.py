@@ -181,7 +181,7 @@ JOINED = {
 
 
 def islands(name: str, source: str, rule: str, keys: str = PG, order: str = ORD, where: str = "true") -> None:
-    step(f"{name}_b", (source,), f"SELECT *, CASE WHEN {JOINED[rule]} THEN 0 ELSE 1 END AS brk FROM {source} WHERE {where} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})")
+    step(f"{name}_b", (source,), f"SELECT *, CASE WHEN lag(1) OVER w IS NOT NULL AND ({JOINED[rule]}) THEN 0 ELSE 1 END AS brk FROM {source} WHERE {where} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})")
     step(name, (f"{name}_b",), f"SELECT *, CAST(sum(brk) OVER (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS group_no FROM {name}_b")
 
 
