@@ -120,7 +120,8 @@ def describe(chunks: DataFrame, config: ChunkerConfig, strategy: str) -> DataFra
     key = lambda x: F.coalesce(F.nullif(x["reading_order"], F.lit(0)) if config.zero_is_missing else x["reading_order"], F.lit(2147483647))
     earliest = F.array_min(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x["reading_order"].alias("ro"))))["ro"]
     out = chunks.withColumn("content", content).where(F.length(F.trim("content")) > 0)
-    out = out.withColumn("average_confidence", total(conf) / n)
+    # To nine decimals, so that the order of addition can't move a chunk over a threshold.
+    out = out.withColumn("average_confidence", F.round(total(conf) / n, 9))
     out = out.withColumn("confidence_variance", total(F.transform(conf, lambda v: (v - F.col("average_confidence")) * (v - F.col("average_confidence")))) / n)
     joined = F.array_join(get("text"), " ")
     langs = F.array_distinct(F.filter(get("language"), lambda v: v.isNotNull()))

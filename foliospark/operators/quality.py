@@ -30,36 +30,52 @@ def page_text(regions: DataFrame, minimum: float | None = None, by_order: bool =
     return kept.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda r: r["text"]), " ").alias("page_text"))
 
 
-def confidence_metrics(regions: DataFrame) -> DataFrame:
-    """Mean, median, sample deviation, extremes, nearest-rank percentiles and bands of each page."""
+def _confidence_aggregates() -> list[Column]:
     c = F.col("confidence")
-    g = regions.groupBy(*PAGE).agg(
+    return [
         F.avg(c).alias("mean"), F.median(c).alias("median"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std_dev"), F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.sort_array(F.collect_list(c)).alias("_all"),
         F.count_if(c < 0.5).alias("low_count"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium_count"), F.count_if(c >= 0.8).alias("high_count"),
-    )
+    ]
+
+
+def _with_confidence(g: DataFrame) -> DataFrame:
     at = lambda q: F.element_at("_all", F.floor(F.size("_all") * F.lit(q)).cast("int") + 1)
-    out = g.select("*", at(0.25).alias("percentile_25"), at(0.75).alias("percentile_75"), at(0.9).alias("percentile_90")).drop("_all")
     total = F.col("low_count") + F.col("medium_count") + F.col("high_count")
-    return out.withColumn("quality_level", X.level(F.col("mean"))).withColumn("is_consistent", F.col("std_dev") < 0.2).withColumn("high_ratio", X.ratio(F.col("high_count"), total))
+    return g.withColumns({
+        "percentile_25": at(0.25), "percentile_75": at(0.75), "percentile_90": at(0.9), "quality_level": X.level(F.col("mean")), "is_consistent": F.col("std_dev") < 0.2, "high_ratio": X.ratio(F.col("high_count"), total),
+    }).drop("_all")
 
 
-def content_metrics(regions: DataFrame, languages: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
-    """Text statistics of each page. languages: (doc_id, page_number, language) from a detector; tables: (page, n_tables)."""
+def confidence_metrics(regions: DataFrame) -> DataFrame:
+    """Mean, median, sample deviation, extremes, nearest-rank percentiles and bands of each page."""
+    return _with_confidence(regions.groupBy(*PAGE).agg(*_confidence_aggregates()))
+
+
+def _content_aggregates() -> list[Column]:
     is_ = lambda *t: F.count_if(F.col("region_type").isin(*t))
-    counts = regions.groupBy(*PAGE).agg(is_("paragraph").alias("paragraphs"), is_("header", "title").alias("headers"), is_("figure").alias("figures"), is_("list").alias("lists"))
-    t = F.col("page_text")
-    chars, words = F.length(t), X.word_count(t)
-    measured = page_text(regions).select(
-        *PAGE, chars.alias("total_characters"), words.alias("total_words"), X.ratio(X.word_chars(t), words).alias("average_word_length"), X.sentences(t).alias("sentences"),
-        X.ratio(X.special(t), chars).alias("special_ratio"), X.ratio(X.digits(t), chars).alias("digit_ratio"), X.ratio(X.upper(t), chars).alias("uppercase_ratio"),
-        X.repeats(t).alias("repeated_sequences"), X.single_char_words(t).alias("short_words"), X.long_words(t).alias("long_words"),
-    )
-    out = counts.join(measured, PAGE, "left")
-    out = out.join(languages, PAGE, "left") if languages is not None else out.withColumn("language", F.lit(None).cast("string"))
-    out = out.join(tables, PAGE, "left") if tables is not None else out.withColumn("n_tables", F.lit(0).cast("long"))
-    out = out.fillna(0).withColumn("language_confidence", F.when(F.col("language").isNotNull(), 0.8).otherwise(0.0))
-    out = out.withColumn("words_per_sentence", X.ratio(F.col("total_words"), F.col("sentences"))).withColumn("artifact_ratio", X.ratio(F.col("repeated_sequences") + F.col("short_words"), F.col("total_words")))
-    return out.withColumn("has_structure", (F.col("sentences") > 0) & (F.col("words_per_sentence") > 3) & (F.col("average_word_length") > 2))
+    item = F.when(F.trim("text") != "", F.struct(F.coalesce(F.col("reading_order"), F.lit(999)).alias("o"), "y1", "x1", "line_no", "text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda r: r["text"]), " ")
+    return [is_("paragraph").alias("paragraphs"), is_("header", "title").alias("headers"), is_("figure").alias("figures"), is_("list").alias("lists"), text.alias("_text")]
+
+
+def _with_content(g: DataFrame, languages: DataFrame | None, tables: DataFrame | None) -> DataFrame:
+    t = F.col("_text")
+    out = g.withColumns({"total_characters": F.length(t), "total_words": X.word_count(t), "sentences": X.sentences(t), "repeated_sequences": X.repeats(t), "short_words": X.single_char_words(t), "long_words": X.long_words(t)})
+    chars, words = F.col("total_characters"), F.col("total_words")
+    out = out.withColumns({
+        "average_word_length": X.ratio(X.word_chars(t), words), "special_ratio": X.ratio(X.special(t), chars), "digit_ratio": X.ratio(X.digits(t), chars), "uppercase_ratio": X.ratio(X.upper(t), chars),
+        "words_per_sentence": X.ratio(words, F.col("sentences")), "artifact_ratio": X.ratio(F.col("repeated_sequences") + F.col("short_words"), words),
+    }).drop("_text")
+    shared = lambda df: [c for c in PAGE if c in df.columns]
+    out = out.join(languages, shared(languages), "left") if languages is not None else out.withColumn("language", F.lit(None).cast("string"))
+    out = out.join(tables, shared(tables), "left") if tables is not None else out.withColumn("n_tables", F.lit(0).cast("long"))
+    structure = (F.col("sentences") > 0) & (F.col("words_per_sentence") > 3) & (F.col("average_word_length") > 2)
+    return out.fillna(0, ["n_tables"]).withColumns({"language_confidence": F.when(F.col("language").isNotNull(), 0.8).otherwise(0.0), "has_structure": structure})
+
+
+def content_metrics(regions: DataFrame, languages: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """Text statistics of each page. languages: (doc_id[, page_number], language) from a detector; tables: (page, n_tables)."""
+    return _with_content(regions.groupBy(*PAGE).agg(*_content_aggregates()), languages, tables)
 
 
 def overlap_pairs(regions: DataFrame) -> DataFrame:
@@ -70,23 +86,42 @@ def overlap_pairs(regions: DataFrame) -> DataFrame:
     return met.select(*PAGE, F.col("a_region_id").alias("region_a"), F.col("b_region_id").alias("region_b"), G.intersection_area("a_", "b_").alias("shared_area"), G.significant_overlap("a_", "b_").alias("significant"))
 
 
-def layout_metrics(regions: DataFrame, pages: DataFrame) -> DataFrame:
+def _layout_aggregates() -> list[Column]:
     x = F.col("x1")
-    g = regions.groupBy(*PAGE).agg(
-        F.count("*").alias("total_regions"), F.max(F.col("reading_order").isNotNull()).alias("order_detected"), F.least(F.greatest(F.count_distinct(F.bround(x, -1)), F.lit(1)), F.lit(5)).alias("columns_detected"),
-        F.count_distinct("region_type").alias("hierarchy_levels"), F.max(F.col("region_type").isin("title", "header")).alias("_titled"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.coalesce(F.var_samp(x), F.lit(0.0)) / 1000)).alias("consistency"),
-    )
-    crossed = overlap_pairs(regions).groupBy(*PAGE).agg(F.count("*").alias("overlaps"))
-    out = g.join(crossed, PAGE, "left").fillna(0, ["overlaps"]).join(pages.select(*PAGE, "text_coverage_ratio"), PAGE)
-    out = out.withColumn("order_confidence", F.when(F.col("order_detected"), 0.8).otherwise(0.0)).withColumn("title_confidence", F.when(F.col("_titled"), 0.8).otherwise(0.0)).drop("_titled")
-    return out.withColumn("good_layout", (F.col("text_coverage_ratio") > 0.1) & (F.col("consistency") > 0.7) & (F.col("overlaps") < F.col("total_regions") * 0.1))
+    return [
+        F.count("*").alias("total_regions"), F.max(F.col("reading_order").isNotNull()).alias("order_detected"), F.least(F.greatest(F.size(F.collect_set(F.bround(x, -1))), F.lit(1)), F.lit(5)).cast("long").alias("columns_detected"),
+        F.size(F.collect_set("region_type")).cast("long").alias("hierarchy_levels"), F.max(F.col("region_type").isin("title", "header")).alias("_titled"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.coalesce(F.var_samp(x), F.lit(0.0)) / 1000)).alias("consistency"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_boxes"),
+    ]
+
+
+def _with_layout(g: DataFrame) -> DataFrame:
+    """g has text_coverage_ratio. Overlaps are counted within the page's array: no join, no pairs on the way."""
+    boxes = F.col("_boxes")
+    met = lambda a, b: (a["x1"] <= b["x2"]) & (a["x2"] >= b["x1"]) & (a["y1"] <= b["y2"]) & (a["y2"] >= b["y1"])
+    after = F.transform(boxes, lambda a, i: F.size(F.filter(F.slice(boxes, i + 2, F.size(boxes)), lambda b: met(a, b))))
+    out = g.withColumn("overlaps", F.aggregate(after, F.lit(0).cast("long"), lambda s, n: s + n))
+    good = (F.col("text_coverage_ratio") > 0.1) & (F.col("consistency") > 0.7) & (F.col("overlaps") < F.col("total_regions") * 0.1)
+    flag = lambda c: F.when(F.col(c), 0.8).otherwise(0.0)
+    return out.withColumns({"order_confidence": flag("order_detected"), "title_confidence": flag("_titled"), "good_layout": good}).drop("_titled", "_boxes")
+
+
+def layout_metrics(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    g = regions.groupBy(*PAGE).agg(*_layout_aggregates())
+    return _with_layout(g.join(pages.select(*PAGE, "text_coverage_ratio"), PAGE))
+
 
+def assess(regions: DataFrame, pages: DataFrame | None = None, languages: DataFrame | None = None, content: bool = True, layout: bool = True, minimum: float = 0.6, width: float = 700, height: float = 900) -> DataFrame:
+    """One row for each page: all metrics, score, level, issues, recommendations and verdicts.
 
-def assess(regions: DataFrame, pages: DataFrame | None = None, languages: DataFrame | None = None, content: bool = True, layout: bool = True, minimum: float = 0.6) -> DataFrame:
-    """One row for each page: all metrics, score, level, issues, recommendations and verdicts."""
-    pages = page_metrics(regions) if pages is None else pages
-    out = confidence_metrics(regions).join(content_metrics(regions, languages), PAGE).join(layout_metrics(regions, pages), PAGE)
+    All measures come from one aggregate over the page. pages: (page, text_coverage_ratio) as the engine reports it; without, it is
+    worked out from the boxes and the page's size.
+    """
+    coverage = [F.least(F.sum(G.area()) / F.lit(float(width * height)), F.lit(1.0)).alias("text_coverage_ratio")] if pages is None else []
+    g = regions.groupBy(*PAGE).agg(*_confidence_aggregates(), *_content_aggregates(), *_layout_aggregates(), *coverage)
+    if pages is not None:
+        g = g.join(pages.select(*PAGE, "text_coverage_ratio"), PAGE)
+    out = _with_layout(_with_content(_with_confidence(g), languages, None))
     structure, artifacts = F.col("has_structure") & F.lit(content), F.col("artifact_ratio") if content else F.lit(0.0)
     good = F.col("good_layout") & F.lit(layout)
     score = F.col("mean") * 0.5 + (0.5 + 0.3 * structure.cast("int") + 0.2 * (artifacts < 0.1).cast("int")) * 0.3 + (0.5 + 0.3 * good.cast("int") + 0.2 * (F.col("text_coverage_ratio") > 0.1).cast("int")) * 0.2

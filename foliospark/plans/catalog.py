@@ -48,8 +48,7 @@ def plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, d: str) -> DataFrame:
-    docs = M.table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"))
-    return regions(spark, d).select(*PAGE).distinct().join(docs, "doc_id").select(*PAGE, "language")
+    return M.table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"))
 
 
 def assessed(spark: SparkSession, d: str) -> DataFrame:

@@ -247,7 +247,7 @@ step("conf_all", ("cp_chunks",), f"SELECT {CI} FROM cp_chunks")
 def described(name: str, source: str, strategy: str, order: str) -> None:
     step(f"{name}_d", (source,), f"""
         SELECT {PG}, bucket, bucket_rank, group_no, chunk_no, string_agg(CASE WHEN bucket = 'list' AND kind = 'whole' THEN text ELSE trim(text) END, ' ' ORDER BY i) AS content, string_agg(text, ' ' ORDER BY i) AS joined,
-            avg(confidence) AS ac, var_pop(confidence) AS vc, min(confidence) AS min_confidence, max(confidence) AS max_confidence, array_to_string(list_sort(list_distinct(list(region_type))), ',') AS region_types, count(DISTINCT region_type) AS n_types,
+            round(avg(confidence), 9) AS ac, var_pop(confidence) AS vc, min(confidence) AS min_confidence, max(confidence) AS max_confidence, array_to_string(list_sort(list_distinct(list(region_type))), ',') AS region_types, count(DISTINCT region_type) AS n_types,
             string_agg(region_id, ',' ORDER BY i) AS region_ids, min(CASE region_type WHEN 'title' THEN 0 WHEN 'header' THEN 1 WHEN 'list' THEN 3 WHEN 'caption' THEN 4 WHEN 'footer' THEN 5 ELSE 2 END) AS hierarchy_level,
             arg_min(reading_order, CASE WHEN reading_order = 0 THEN 1000000 ELSE reading_order END) AS reading_order, bool_or(region_type = 'header') AS is_header, bool_or(region_type = 'title') AS is_title, bool_or(region_type = 'footer') AS is_footer,
             min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, arg_min(x1, i) AS fx, arg_min(y1, i) AS fy
