@@ -444,7 +444,7 @@ def engine_unresolved(spark, d):
 @query
 def longest_text(spark, d):
     docs = M.table(spark, d, "documents")
-    models = [("base", 0, F.substring("text", 1, 200)), ("large", 1, F.concat(F.substring("text", 1, 150), F.when(F.col("doc_id") % 3 == 0, "x" * 60).otherwise(""))), ("layout", 2, F.substring("text", 11, 200))]
+    models = [("base", 0, F.col("text")), ("large", 1, F.concat(F.regexp_replace("text", "[.]", ""), F.when(F.col("doc_id") % 3 == 0, "x" * 60).otherwise(""))), ("layout", 2, F.regexp_replace("text", ",", " ,"))]
     each = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("model_order"), t.alias("text")) for m, k, t in models])).alias("m")).select("doc_id", "m.*")
     return E.longest_text(each).select("doc_id", "model", "text")
 

@@ -362,7 +362,7 @@ oracle("engine_fallback", ("gt",), f"SELECT doc_id, engine, {r6('av')} AS averag
 oracle("engine_best", ("gt",), f"SELECT doc_id, engine, {r6('al')} AS average FROM gt WHERE passes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {r6('al')} DESC, priority) = 1")
 oracle("engine_unresolved", ("gt",), "SELECT doc_id FROM gt GROUP BY 1 HAVING NOT bool_or(passes)")
 oracle("longest_text", (), """
-    WITH m AS (SELECT doc_id, 'base' AS model, 0 AS k, substr(text, 1, 200) AS text FROM documents UNION ALL SELECT doc_id, 'large', 1, substr(text, 1, 150) || CASE WHEN doc_id % 3 = 0 THEN repeat('x', 60) ELSE '' END FROM documents UNION ALL SELECT doc_id, 'layout', 2, substr(text, 11, 200) FROM documents)
+    WITH m AS (SELECT doc_id, 'base' AS model, 0 AS k, text FROM documents UNION ALL SELECT doc_id, 'large', 1, replace(text, '.', '') || CASE WHEN doc_id % 3 = 0 THEN repeat('x', 60) ELSE '' END FROM documents UNION ALL SELECT doc_id, 'layout', 2, replace(text, ',', ' ,') FROM documents)
     SELECT doc_id, model, text FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, k) = 1""")
 step("wb", ("regions",), "SELECT *, CAST(conf_milli AS DOUBLE) / 10 - CASE WHEN line_no % 5 = 0 THEN 60 ELSE 0 END AS conf, y2 - y1 - CASE WHEN line_no % 8 = 0 THEN 100 ELSE 0 END AS hh FROM regions WHERE line_no % 9 <> 0")
 oracle("engine_word_boxes", ("wb",), f"SELECT {PG}, line_no, {r6('conf / 100')} AS confidence, x1, y1, x1 + (x2 - x1) AS x2, y1 + hh AS y2, CAST(row_number() OVER (PARTITION BY {PG} ORDER BY y1, x1, line_no) - 1 AS INTEGER) AS reading_order FROM wb WHERE conf >= 0 AND hh > 0")
