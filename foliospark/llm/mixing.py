@@ -35,28 +35,32 @@ def _weight(source: Column, weights: dict[str, float], default: float) -> Column
     return out
 
 
+def _queue(source: Column) -> Column:
+    """A source's name that is never null, so that the join and the window below share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 class Mixture:
     def __init__(self, df: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, budget_share: float = 0.8, budget_tokens: int | None = None, seed: str = "mix-1", text: str = "text", source: str = "source", key: str = "doc_id"):
         columns = [F.col(f"`{c}`") for c in df.columns]
         draw = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
         self.weights, self.default, self.row = weights or {}, default, F.struct(*columns)
         self.base = df.select(
-            self.row.alias("row"), F.col(key).cast("long").alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("tokens"),
+            self.row.alias("row"), F.col(key).cast("long").alias("key"), F.col(source).alias("source"), _queue(F.col(source)).alias("queue"), word_count(F.col(text)).alias("tokens"),
             draw.alias("draw"), F.xxhash64(*columns).alias("tie"), F.conv(F.substring(draw, 1, 3), 16, 10).cast("int").alias("slice"),
         )
         self.light = materialize(self.base.drop("row"))
-        by_slice = self.light.groupBy("source", "slice").agg(F.sum("tokens").alias("n"))
-        before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        self.offsets = materialize(by_slice.select("source", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+        by_slice = self.light.groupBy("queue", "slice").agg(F.sum("tokens").alias("n"))
+        before = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        self.offsets = materialize(by_slice.select("queue", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
         self.total = self.light.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         self.budget = budget_tokens if budget_tokens is not None else int(self.total * budget_share)
 
     def timed(self, rows: DataFrame) -> DataFrame:
-        """Rows with their virtual finish time: one exchange, by source and slice."""
-        within = Window.partitionBy("source", "slice").orderBy("draw", F.col("key").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, 0)
-        start = self.offsets.select(F.col("source").alias("s"), F.col("slice").alias("b"), "before")
-        met = rows.join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("b")))
-        return met.withColumn("finish", (F.col("before") + F.sum("tokens").over(within)) / _weight(F.col("source"), self.weights, self.default)).drop("s", "b", "before")
+        """Rows with their virtual finish time: one exchange, by queue and slice, for join and window."""
+        within = Window.partitionBy("queue", "slice").orderBy("draw", F.col("key").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, 0)
+        met = rows.join(self.offsets, ["queue", "slice"])
+        return met.withColumn("finish", (F.col("before") + F.sum("tokens").over(within)) / _weight(F.col("source"), self.weights, self.default)).drop("before")
 
     @staticmethod
     def order() -> list[Column]:
