@@ -11,7 +11,7 @@ def brute(rows):
     logs = {}
     for c, t, r, x in rows:
         if c is not None:
-            logs.setdefault(c, []).append((t is not None, t or 0, r or "unknown", x or ""))
+            logs.setdefault(c, []).append((t is not None, t or 0, "unknown" if r is None else r, x or ""))
     logs = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in logs.items()}
     safe = lambda s: s.replace("<|im_", "<| im_")
     out = {}

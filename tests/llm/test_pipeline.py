@@ -19,7 +19,7 @@ def corpus(spark):
         if i % 17 == 0:
             text = " ".join("zig" if r.random() < 0.04 else w for w in text.split())
         rows.append((i, text, "en", r.choice(["src0"] * 3 + ["a", "b"])))
-    rows += [(900, "Привет как дела сегодня " * 10, "en", "a"), (901, None, "en", "a"), (902, "", "en", "b")]
+    rows += [(900, "Привет как дела сегодня " * 10, None, "a"), (901, None, "en", "a"), (902, "", "en", "b")]
     return docs(spark, rows)
 
 

@@ -15,7 +15,7 @@ TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aB é.!\n 9ü", max_size
 def test_words_and_ngrams_match_a_plain_loop(texts, n, limit):
     data, offsets, valid = utf8(pa.array(texts, pa.string()))
     assert valid.tolist() == [t is not None for t in texts]
-    names = {}
+    names, sequences = {}, {}
     for i, j in blocks(offsets, limit):
         w = Words(data, offsets, i, j)
         grams, bounds = w.ngrams(n)
@@ -29,8 +29,8 @@ def test_words_and_ngrams_match_a_plain_loop(texts, n, limit):
             got = grams[bounds[r - i] : bounds[r - i + 1]].tolist()
             assert len(got) == len(expected)
             for h, p in zip(got, expected):
-                assert names.setdefault(p, h) == h if n > 1 or len(p) == 1 else True
-    assert len(set(names.values())) == len(names)
+                assert sequences.setdefault(p, h) == h
+    assert len(set(names.values())) == len(names) and len(set(sequences.values())) == len(sequences)
 
 
 def test_blocks_cover_all_rows_and_keep_long_texts_whole():
