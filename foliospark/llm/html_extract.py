@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.runtime import map_arrow
+
 SCHEMA = "page_id long, url string, content string, text_nodes int, content_nodes int"
 TEXT = "#text"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -99,14 +101,14 @@ def parse(source: str) -> tuple[Page, bool]:
                     break
         peers = PEERS.get(tag)
         if peers:
-            stops = STOPS[tag]
+            stops, cut = STOPS[tag], len(stack)
             for k in range(len(stack) - 1, 0, -1):
                 open_ = tags[stack[k]]
                 if open_ in stops:
                     break
                 if open_ in peers:
-                    del stack[k:]
-                    break
+                    cut = k
+            del stack[cut:]
         top = stack[-1]
         label = page.label[top]
         if tag == "article" or tag == "main":
@@ -270,4 +272,4 @@ def extract(df: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 text, nodes, kept = zip(*(next(found) if s is not None else (None, 0, 0) for s in sources))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(nodes, pa.int32()), pa.array(kept, pa.int32())], ["page_id", "url", "content", "text_nodes", "content_nodes"])
 
-    return df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html")).mapInArrow(run, SCHEMA)
+    return map_arrow(df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html")), run, SCHEMA)
