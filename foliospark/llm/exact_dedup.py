@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.runtime import map_arrow
+
 _MASK = 2**64 - 1
 SLOTS = 4
 
@@ -184,4 +186,5 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str | None = "doc_id") -
     combine = lambda batches: _drop_copies(batches, text, key, False)
     settle = lambda batches: _drop_copies(batches, text, key, True)
     order = [F.col("digest"), *([F.col(f"row.{key}").asc_nulls_last()] if key else []), F.col("tie")]
-    return packed.mapInArrow(combine, packed.schema).repartition("digest").sortWithinPartitions(*order).mapInArrow(settle, packed.schema).select("row.*")
+    spread = map_arrow(packed, combine, packed.schema).repartition("digest").sortWithinPartitions(*order)
+    return map_arrow(spread, settle, packed.schema).select("row.*")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.runtime import map_arrow
 from foliospark.llm.textops import U, blocks, utf8
 
 UNIT = 1 << 16
@@ -253,7 +254,7 @@ def identify(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0, text:
                 ["doc_id", "language", "bits", "bits_per_byte", "keep"],
             )
 
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), run, SCHEMA)
 
 
 def keep_identified(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0, text: str = "text") -> DataFrame:
@@ -264,4 +265,4 @@ def keep_identified(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0,
         for batch in batches:
             yield batch.filter(pa.array(_best(model, batch.column(at), max_bits_per_byte)[3]))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)

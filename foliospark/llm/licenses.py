@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.runtime import map_arrow
 from foliospark.llm.textops import U, Words, blocks, utf8
 
 SCHEMA = "doc_id long, license string, coverage double, matched_words int, first_word int, last_word int"
@@ -199,4 +200,4 @@ def scan(df: DataFrame, threshold: float = 0.8, templates: dict[str, str] | None
                     ["doc_id", "license", "coverage", "matched_words", "first_word", "last_word"],
                 )
 
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), run, SCHEMA)

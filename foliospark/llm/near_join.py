@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import materialize
+from foliospark.llm.runtime import map_arrow, materialize
 from foliospark.llm.textops import U, Words, blocks, int64_list, mix, utf8
 
 SKETCHES = "doc_id long, set_hash long, sketch binary, paths array<long>"
@@ -98,7 +98,7 @@ def sketches(df: DataFrame, n: int, threshold: float, tokens: int, runs: int, se
                     ["doc_id", "set_hash", "sketch", "paths"],
                 )
 
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SKETCHES)
+    return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), run, SKETCHES)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -283,7 +283,7 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str = "rep") -> DataFrame:
             keep = (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1
             yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
 
-    return df.where(F.col(key).isNotNull()).select(key, "text", at.alias("at")).mapInArrow(run, f"{key} long, text string")
+    return map_arrow(df.where(F.col(key).isNotNull()).select(key, "text", at.alias("at")), run, f"{key} long, text string")
 
 
 def across(x: np.ndarray, y: np.ndarray, score: np.ndarray, first: np.ndarray, docs: np.ndarray, several: np.ndarray) -> Iterator[pa.RecordBatch]:

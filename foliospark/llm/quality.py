@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.runtime import map_arrow
 from foliospark.llm.textops import U, Words, blocks, int64_list, utf8
 
 SCHEMA = "doc_id long, quality double, keep boolean"
@@ -92,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 2,
                     yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1], batch.column(1)[at : at + 1], int64_list(row, np.array([0, len(row)]))], ["key", "y", "places"])
 
     found = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("t")).where("t is not null").join(F.broadcast(sample), "key").select("key", "y", "t")
-    got = found.mapInArrow(places, "key long, y int, places array<long>").toArrow().sort_by("key")
+    got = map_arrow(found, places, "key long, y int, places array<long>").toArrow().sort_by("key")
     if not got.num_rows:
         return Model(np.zeros(1 << bits), 0.0, n, bits, 0.5)
     keys, y = got.column("key").to_numpy(), got.column("y").to_numpy()
@@ -123,4 +124,4 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
                 keep = ~none & (found >= model.threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, mask=none), pa.array(keep)], ["doc_id", "quality", "keep"])
 
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), run, SCHEMA)

@@ -36,3 +36,17 @@ def materialize(df: DataFrame) -> DataFrame:
 def word_count(text):
     """Words of a text, divided by white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+
+
+BATCH_ROWS = 2000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in batches of few rows: with very long texts Spark's usual 10,000 would be gigabytes in each worker.
+
+    A session that has chosen its own number keeps it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
