@@ -1,8 +1,8 @@
 """Exact deduplication with a cuckoo-filter index of live digests.
 
-Rows go by digest to their shard (after each input partition has dropped its own
-copies, so a text repeated millions of times sends one row per partition and not all
-of them), sorted by digest there. The shard's index says whether a digest is live; a
+Rows go by digest to their shard (after each input partition has dropped copies of its
+own, so a text repeated millions of times sends a few rows per partition and not all of
+them), sorted by digest there. The shard's index says whether a digest is live; a
 hit counts only if the text is equal to one in the digest's bucket of contents, so
 neither fingerprints nor digests that collide can drop a row. Of equal texts the row
 with the least doc_id stays (null last), then the one with the least hash of all
@@ -134,23 +134,27 @@ class LiveTexts:
         return True
 
 
-def _drop_copies(batches: Iterator[pa.RecordBatch], text: str, key: str | None, sorted_: bool) -> Iterator[pa.RecordBatch]:
-    """Columns: row (struct), digest, tie. Sorted input lets go of each digest's texts when it has passed."""
-    if sorted_:
-        yield from _drop_sorted(batches, text)
-        return
-    for batch in batches:  # a map-side combine: what is left over between batches, the shard settles
-        live, drop = LiveTexts(), np.zeros(batch.num_rows, bool)
+def _combine(batches: Iterator[pa.RecordBatch], text: str, key: str | None) -> Iterator[pa.RecordBatch]:
+    """Columns: row (struct), digest, tie. Drops what an earlier row of the partition already stands for.
+
+    The index holds every digest, the buckets only contents met at least twice; the second
+    row of a text goes on, as does any that ranks before those seen, and the shard settles it.
+    """
+    live, row = LiveTexts(), 0
+    for batch in batches:
         rows = batch.column(0)
         texts = rows.field(text)
         keys = rows.field(key).to_pylist() if key else [None] * len(rows)
-        digests, ties = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        twice = {d for d, n in zip(*np.unique(np.array(digests, np.int64), return_counts=True)) if n > 1} if digests else set()
-        for i, d in enumerate(digests):
-            if d in twice and texts[i].is_valid:
-                gone = live.offer(d, texts[i].as_py(), (keys[i] is None, keys[i], ties[i]) if keys[i] is not None else (True, 0, ties[i]), i)
-                if gone is not None:
-                    drop[gone] = True
+        drop = np.zeros(batch.num_rows, bool)
+        for i, (d, tie) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if not texts[i].is_valid:
+                continue
+            if not live.index.contains(d):
+                live.index.insert(d)
+                continue
+            row += 1
+            rank = (keys[i] is None, keys[i] if keys[i] is not None else 0, tie)
+            drop[i] = live.offer(d, texts[i].as_py(), rank, row) == row
         yield batch.filter(pa.array(~drop)) if drop.any() else batch
 
 
@@ -183,8 +187,8 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str | None = "doc_id") -
     tie = F.xxhash64(*[c for c in plain if c is not None])
     digest = F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).otherwise(tie)
     packed = df.select(F.struct(*plain).alias("row"), digest.alias("digest"), tie.alias("tie"))
-    combine = lambda batches: _drop_copies(batches, text, key, False)
-    settle = lambda batches: _drop_copies(batches, text, key, True)
+    combine = lambda batches: _combine(batches, text, key)
+    settle = lambda batches: _drop_sorted(batches, text)
     order = [F.col("digest"), *([F.col(f"row.{key}").asc_nulls_last()] if key else []), F.col("tie")]
     spread = map_arrow(packed, combine, packed.schema).repartition("digest").sortWithinPartitions(*order)
     return map_arrow(spread, settle, packed.schema).select("row.*")
