@@ -34,10 +34,19 @@ def query(f: Query) -> Query:
     return f
 
 
-def regions(spark: SparkSession, d: str) -> DataFrame:
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Regions where each stands for itself: no exchange."""
     return M.regions(M.table(spark, d, "documents"))
 
 
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions for all that looks at pages or documents.
+
+    One exchange by document, of texts and before they are cut up, serves every window and aggregate that follows.
+    """
+    return M.regions(M.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"))
+
+
 def typed(spark: SparkSession, d: str) -> DataFrame:
     return L.refine_types(L.reading_order(regions(spark, d)))
 
@@ -123,7 +132,7 @@ def context_summary(spark, d):
 
 @query
 def regions_confident(spark, d):
-    return regions(spark, d).where(F.col("confidence") >= 0.6).select("region_id", *PAGE, "confidence")
+    return lines(spark, d).where(F.col("confidence") >= 0.6).select("region_id", *PAGE, "confidence")
 
 
 @query
@@ -134,13 +143,13 @@ def region_predicates(spark, d):
 
 @query
 def regions_invalid(spark, d):
-    broken = regions(spark, d).withColumn("confidence", F.col("confidence") + F.when(F.col("line_no") % 7 == 0, 0.5).otherwise(0.0)).withColumn("x2", F.col("x2") - F.when(F.col("line_no") % 11 == 0, 500.0).otherwise(0.0))
+    broken = lines(spark, d).withColumn("confidence", F.col("confidence") + F.when(F.col("line_no") % 7 == 0, 0.5).otherwise(0.0)).withColumn("x2", F.col("x2") - F.when(F.col("line_no") % 11 == 0, 500.0).otherwise(0.0))
     return broken.select("region_id", F.array_join(violations(), ",").alias("violations")).where("violations <> ''")
 
 
 @query
 def bbox_metrics(spark, d):
-    return regions(spark, d).select("region_id", G.width().alias("width"), G.height().alias("height"), G.area().alias("area"), G.center_x().alias("center_x"), G.center_y().alias("center_y"))
+    return lines(spark, d).select("region_id", G.width().alias("width"), G.height().alias("height"), G.area().alias("area"), G.center_x().alias("center_x"), G.center_y().alias("center_y"))
 
 
 @query
@@ -170,34 +179,34 @@ def region_types_layout(spark, d):
 
 @query
 def region_types_tesseract(spark, d):
-    return regions(spark, d).select("region_id", K.word_box_type(F.lit(900)).alias("region_type"))
+    return lines(spark, d).select("region_id", K.word_box_type(F.lit(900)).alias("region_type"))
 
 
 @query
 def region_types_easyocr(spark, d):
-    return regions(spark, d).select("region_id", K.polygon_type(F.lit(700)).alias("region_type"))
+    return lines(spark, d).select("region_id", K.polygon_type(F.lit(700)).alias("region_type"))
 
 
 @query
 def region_types_fixed_px(spark, d):
-    return regions(spark, d).withColumn("y1", F.col("y1") * 2).select("region_id", K.fixed_px_type().alias("region_type"))
+    return lines(spark, d).withColumn("y1", F.col("y1") * 2).select("region_id", K.fixed_px_type().alias("region_type"))
 
 
 @query
 def region_types_relative(spark, d):
-    return regions(spark, d).withColumn("y1", F.col("y1") / 600).select("region_id", K.relative_type().alias("region_type"))
+    return lines(spark, d).withColumn("y1", F.col("y1") / 600).select("region_id", K.relative_type().alias("region_type"))
 
 
 @query
 def region_types_elements(spark, d):
     name = F.element_at(F.array(*map(F.lit, ("Title", "Header", "NarrativeText", "ListItem", "Table", "Footer", "Image"))), F.col("line_no") % 7 + 1)
-    return regions(spark, d).select("region_id", K.element_type(name).alias("region_type"))
+    return lines(spark, d).select("region_id", K.element_type(name).alias("region_type"))
 
 
 @query
 def extraction_comparison(spark, d):
     """How a simple rule and the polygon rules type the same regions."""
-    r = regions(spark, d).select(K.simple_type(F.col("text")).alias("simple"), K.polygon_type(F.lit(700)).alias("improved"), "confidence")
+    r = lines(spark, d).select(K.simple_type(F.col("text")).alias("simple"), K.polygon_type(F.lit(700)).alias("improved"), "confidence")
     side = lambda name: r.groupBy(F.lit(name).alias("method"), F.col(name).alias("region_type")).agg(F.count("*").alias("n"), r6(F.avg("confidence")).alias("mean_confidence"))
     return side("simple").unionByName(side("improved"))
 
@@ -267,7 +276,7 @@ def confidence_groups(spark, d):
 @query
 def confidence_categories(spark, d):
     c = F.col("confidence")
-    return regions(spark, d).select("region_id", F.when(c >= 0.8, "high").when(c >= 0.6, "medium").when(c >= 0.4, "low").alias("category")).where("category is not null")
+    return lines(spark, d).select("region_id", F.when(c >= 0.8, "high").when(c >= 0.6, "medium").when(c >= 0.4, "low").alias("category")).where("category is not null")
 
 
 @query
@@ -465,7 +474,7 @@ def engine_polygons(spark, d):
 
 @query
 def clean_text(spark, d):
-    r = regions(spark, d).withColumn("t", F.concat(F.lit("  "), F.regexp_replace("text", " ", "  "), F.lit(" #§ ")))
+    r = lines(spark, d).withColumn("t", F.concat(F.lit("  "), F.regexp_replace("text", " ", "  "), F.lit(" #§ ")))
     return r.select("region_id", X.clean_region(F.col("t")).alias("clean_region"), X.clean_chunk(F.col("t")).alias("clean_chunk"))
 
 
