@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foliospark.operators import images as I
-from foliospark.plans.pipeline import process, text_pipeline
+from foliospark.plans.pipeline import process, text_pipeline, text_scores
 from foliospark.sources import files as S
 from foliospark.streaming import regions as R
 
@@ -56,6 +56,13 @@ def test_elements_and_text_pipeline(spark):
     assert chunks.count() == 1 and scores.first().overall_score_raw is not None
 
 
+def test_scores_are_of_whole_texts(spark):
+    texts = [(1, "One two three. " * 2000), (2, "One two three. " * 2000 + "Extraordinarily complicated considerations! " * 500)]
+    got = {x.doc_id: x for x in text_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (got[1].sentence_count, got[2].sentence_count) == (2000, 2500)
+    assert got[2].flesch < got[1].flesch and got[2].ari > got[1].ari
+
+
 def test_image_steps():
     rng = np.random.default_rng(1)
     text = np.full((120, 160), 230, np.uint8)
