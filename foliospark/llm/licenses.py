@@ -1,16 +1,20 @@
 """License scans by patience alignment of whole texts with license templates.
 
-Words that occur once in the text's window and once in the template are anchors; the
+Coverage is the share of the template's words that the text holds in the template's order,
+with any number of other words between; a text holds a license if it covers `threshold`
+of it. first_word and last_word say how far the words lie apart.
+
+Words that occur once in a window of the text and once in the template are anchors; the
 longest increasing subsequence of their places is kept, and the gaps between are aligned
 in the same way, after their equal heads and tails. A gap without anchors is aligned by
-longest common subsequence if it is small. Coverage is the share of the template's words
-that are aligned; a text holds a license if its best window covers `threshold` of it.
+longest common subsequence. The windows lie around the places of the template's words that
+are rarest in the text; one that holds the whole template settles the text. All else is
+settled by the longest common subsequence of the template and the whole text, computed on bit
+vectors, since words may be inserted at any length and anchors may mislead: of the parts of
+the text that cover most, the one that ends first, without what it can spare at its head.
 
-Windows lose nothing: at coverage c at most (1-c)|T| words of the template T may be
-missing, so of any one more of its words at least one is aligned. The words that are
-rarest in the text are taken, and each place of theirs is a window. Before that a text is passed over
-if even all of its words, in any order, could not cover enough. So long texts cost one
-vectorised pass, and licenses that occur several times are found too.
+Before that a text is passed over if even all of its words, in any order, could not cover
+enough. So long texts without a license cost one vectorised pass.
 
 Null, empty and wordless texts hold no license. Rows with null doc_id are scanned like
 others. Repeated rows give repeated results; extra columns make no difference.
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
@@ -56,9 +60,6 @@ TEMPLATES = {
     "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
 }
 
-SMALL_GAP = 4096
-
-
 def increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence, by patience sorting."""
     tops: list[int] = []
@@ -80,22 +81,45 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def bit_rows(a: Iterable[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of a: bit j is 0 where b[: j + 1] has a longer common subsequence with it than b[:j]."""
+    full = (1 << len(b)) - 1
+    at: dict[int, int] = {}
+    for j, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << j
+    row = full
+    for w in a:
+        hit = row & at.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
 def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
+    rows = [(1 << len(b)) - 1, *bit_rows(a, b)]
+    i, j = len(a), len(b)
     out = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
         else:
-            j += 1
-    return out
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def most_covering(words: list[int], template: list[int]) -> tuple[int, int, int]:
+    """(matched, first, last) of the longest common subsequence: the first to end, and of those the last to begin; matched 0 if none."""
+    size = len(template)
+    most, last = 0, -1
+    for k, row in enumerate(bit_rows(words, template)):
+        if size - row.bit_count() > most:
+            most, last = size - row.bit_count(), k
+    for k, row in enumerate(bit_rows(reversed(words[: last + 1]), template[::-1])):
+        if size - row.bit_count() == most:
+            return most, last - k, last
+    return 0, -1, -1
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -115,8 +139,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         once = {w for w, n in in_b.items() if n == 1 and in_a.get(w) == 1}
         if not once:
-            if (a1 - a0) * (b1 - b0) <= SMALL_GAP:
-                out += [(a0 + i, b0 + j) for i, j in common_subsequence(a[a0:a1], b[b0:b1])]
+            out += [(a0 + i, b0 + j) for i, j in common_subsequence(a[a0:a1], b[b0:b1])]
             continue
         place = {b[j]: j for j in range(b0, b1) if b[j] in once}
         anchors = [(i, place[a[i]]) for i in range(a0, a1) if a[i] in once]
@@ -133,27 +156,24 @@ def words_of(text: str) -> np.ndarray:
 
 
 def best_window(words: np.ndarray, template: list[int], threshold: float, stretch: float = 1.25, spare: int = 3) -> tuple[int, int, int] | None:
-    """(matched, first, last) of the window that covers most, the first such; None if under the threshold."""
+    """(matched, first, last) of the part of the text that covers most; None if under the threshold."""
     size = len(template)
     needed = ceil(threshold * size - 1e-9)
     places = {w: np.flatnonzero(words == np.uint64(w)) for w in set(template)}
+    held = np.sort(np.concatenate(list(places.values())))
     order = sorted(range(size), key=lambda q: (len(places[template[q]]), q))[: size - needed + 1]
     spans = set()
     for q in order:
         for p in places[template[q]].tolist():
             spans.add((max(0, p - ceil(q * stretch) - spare), min(len(words), p + ceil((size - q) * stretch) + spare)))
-    best: tuple[int, int, int] | None = None
-    held = np.isin(words, np.array(list(places), U))
-    upto = np.concatenate([[0], np.cumsum(held)])
     for lo, hi in sorted(spans):
-        if upto[hi] - upto[lo] < max(needed, (best[0] + 1) if best else 0):
+        if np.searchsorted(held, hi) - np.searchsorted(held, lo) < size:
             continue
         found = patience(words[lo:hi].tolist(), template)
-        if len(found) >= needed and (best is None or len(found) > best[0]):
-            best = (len(found), lo + found[0][0], lo + found[-1][0])
-            if len(found) == size:
-                break
-    return best
+        if len(found) == size:
+            return size, lo + found[0][0], lo + found[-1][0]
+    most, first, last = most_covering(words[held].tolist(), template)
+    return (most, int(held[first]), int(held[last])) if most >= needed else None
 
 
 def scan(df: DataFrame, threshold: float = 0.8, templates: dict[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

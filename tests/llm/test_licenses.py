@@ -71,6 +71,44 @@ def test_matches_brute_force_over_all_windows(spark):
     assert got == want
 
 
+def longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(0, 5), min_size=1, max_size=12))
+def test_bit_vectors_match_a_table(a, b):
+    n = longest(a, b)
+    pairs = L.common_subsequence(a, b)
+    assert len(pairs) == n and all(a[i] == b[j] for i, j in pairs)
+    assert all(p < r and q < s for (p, q), (r, s) in zip(pairs, pairs[1:]))
+    most, first, last = L.most_covering(a, b)
+    assert most == n
+    if n:
+        assert longest(a[first : last + 1], b) == n and longest(a[:last], b) < n and longest(a[first + 1 : last + 1], b) < n
+
+
+def test_long_insertions_and_large_gaps_without_anchors(spark):
+    template = [f"w{k}" for k in range(160)]
+    filler = prose(3, 8000).split()
+    twice = [f"r{k}" for k in range(70)] * 2
+    rows = [
+        (1, template[:80] + filler[:80] + template[80:]),
+        (2, filler[:500] + [x for k, w in enumerate(template) for x in (w, *filler[k * 40 : k * 40 + 40])]),
+        (3, template[:70] + filler[:5000] + template[90:]),
+        (4, template[:60] + filler[:100] + template[100:]),
+    ]
+    got = {x.doc_id: x for x in L.scan(docs(spark, [(i, " ".join(w), "en", "s") for i, w in rows]), templates={"t": " ".join(template)}).collect()}
+    assert {i: x.matched_words for i, x in got.items()} == {1: 160, 2: 160, 3: 140}
+    assert (got[2].first_word, got[2].last_word) == (500, 500 + 159 * 41)
+    noisy = " ".join(x for w in twice for x in (w, "noise"))
+    assert [x.matched_words for x in L.scan(docs(spark, [(1, noisy, "en", "s")]), templates={"t": " ".join(twice)}).collect()] == [140]
+
+
 def test_awkward_rows(spark):
     odd = awkward(spark).withColumnRenamed("lang", "license").withColumnRenamed("source", "coverage")
     assert L.scan(odd).count() == 0
