@@ -41,7 +41,8 @@ def op7_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, near=near_join.Join(docs).groups())
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -460,6 +460,11 @@ class Join:
         links = self.set_pairs(forest=True).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).unionByName(members)
         return connected(links).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept"))
 
+    def groups(self) -> DataFrame:
+        """(doc_id, near): of each document with near copies the least doc_id of its group, its own among them."""
+        gone = materialize(self.dropped())
+        return gone.select("doc_id", F.col("kept").alias("near")).unionByName(gone.select(F.col("kept").alias("doc_id"), F.col("kept").alias("near")).distinct())
+
 
 def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", **params) -> DataFrame:
     """The rows of df, all columns as they are, without those whose document another one of its group stands for."""

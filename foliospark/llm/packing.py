@@ -7,6 +7,9 @@ the search goes on to its successors until a bin is found whose bitmaps of sourc
 duplicate clusters hold neither the piece's source nor its cluster: the tightest
 compatible bin. If there is none, a bin is opened.
 
+Clusters are of texts equal up to case and white space, or those of a column given instead.
+Besides, documents can be of groups of near copies (`near`), of which a bin takes one too.
+
 Documents are spread by a hash over shards of about `shard` pieces, packed each by
 itself, so work per document stays the same at any size. Shards never share a bin.
 
@@ -29,15 +32,17 @@ SCHEMA = "doc_id long, piece int, tokens long, bin_id long, bin_offset long, sou
 BIN_BITS = 32
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[tuple[int, int]]:
-    """(bin, offset) of each piece, in the order given."""
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, near: list | None = None) -> list[tuple[int, int]]:
+    """(bin, offset) of each piece, in the order given. near: groups of near copies, None for pieces of none."""
     bit: dict = {}
     bins: list[list[int]] = []  # residual, bitmap
     open_: list[tuple[int, int]] = []  # (residual, bin), sorted
     out = []
     least = min(sizes, default=0)
-    for size, source, cluster in zip(sizes, sources, clusters):
+    for size, source, cluster, group in zip(sizes, sources, clusters, near or [None] * len(sizes)):
         marks = 1 << bit.setdefault(("s", source), len(bit)) | 1 << bit.setdefault(("c", cluster), len(bit))
+        if group is not None:
+            marks |= 1 << bit.setdefault(("n", group), len(bit))
         at = bisect_left(open_, (size, -1))
         while at < len(open_) and bins[open_[at][1]][1] & marks:
             at += 1
@@ -60,28 +65,29 @@ def cluster_of(text: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", "")))
 
 
-def pack(df: DataFrame, capacity: int = 2048, shard: int = 4096, text: str = "text", source: str = "source", key: str = "doc_id", cluster: str | None = None) -> DataFrame:
-    """One row for each piece: doc_id, piece, tokens, bin_id, bin_offset, source. cluster: a column of known duplicate clusters."""
+def pack(df: DataFrame, capacity: int = 2048, shard: int = 4096, text: str = "text", source: str = "source", key: str = "doc_id", cluster: str | None = None, near: DataFrame | None = None) -> DataFrame:
+    """One row for each piece: doc_id, piece, tokens, bin_id, bin_offset, source. cluster: a column of known duplicate clusters; near: (doc_id, near) of documents with near copies, a row each."""
     if capacity < 1 or shard < 1:
         raise ValueError("capacity and shard must be positive")
     marks = F.col(cluster).cast("string") if cluster else cluster_of(F.col(text)).cast("string")
     light = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("tokens"), marks.alias("cluster")).where("tokens > 0")
+    light = light.withColumn("near", F.lit(None).cast("long")) if near is None else light.join(near.select("doc_id", "near"), "doc_id", "left")
     light = materialize(light)
     shards = max(1, -(-light.count() // shard))
     spread = light.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
 
     def run(rows: pa.Table) -> pa.Table:
-        docs = sorted(((t, (d is None, d or 0), c, s, d) for d, s, t, c in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "source", "tokens", "cluster")))), key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+        docs = sorted(((t, (d is None, d or 0), c, s, d, n) for d, s, t, c, n in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "source", "tokens", "cluster", "near")))), key=lambda r: (r[0], r[1], r[2], r[3] or ""))
         first = rows.column("shard")[0].as_py() << BIN_BITS if rows.num_rows else 0
         done, rests, bins = [], [], 0
-        for tokens, rank, cluster, source, doc in docs:
+        for tokens, rank, cluster, source, doc, group in docs:
             for piece in range(tokens // capacity):
                 done.append((doc, piece, capacity, first + bins, 0, source))
                 bins += 1
             if tokens % capacity:
-                rests.append((-(tokens % capacity), rank, tokens // capacity, cluster, source, doc))
+                rests.append((-(tokens % capacity), rank, tokens // capacity, cluster, source, doc, group))
         rests.sort(key=lambda r: (r[0], r[1], r[2], r[3], r[4] or ""))
-        for (size, _, piece, _, source, doc), (b, offset) in zip(rests, best_fit([-r[0] for r in rests], [r[4] for r in rests], [r[3] for r in rests], capacity)):
+        for (size, _, piece, _, source, doc, _), (b, offset) in zip(rests, best_fit([-r[0] for r in rests], [r[4] for r in rests], [r[3] for r in rests], capacity, [r[6] for r in rests])):
             done.append((doc, piece, -size, first + bins + b, offset, source))
         columns = list(zip(*done))
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from foliospark.llm import catalog
 from foliospark.llm import packing as P
 
 from .helpers import awkward, docs, prose
@@ -66,6 +67,22 @@ def test_same_result_in_any_order_and_known_clusters(spark):
     assert one.select("bin_id").distinct().count() == 120
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    rows = []
+    for g in range(12):
+        w = prose(g, 40).split()
+        rows += [(10 * g + k, " ".join([*w[: 3 * k], "zig", *w[3 * k :]]), "en", f"s{g}-{k}") for k in range(4)]
+    docs(spark, [*rows, (None, rows[0][1], "en", "x")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.op8_bestfit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 1
+    bins = defaultdict(list)
+    for x in got:
+        if x.doc_id is not None:
+            bins[x.bin_id].append(x.doc_id // 10)
+    assert all(len(set(groups)) == len(groups) for groups in bins.values())
+    assert len(bins) < len(rows)
+
+
 def test_awkward_rows(spark):
     df = awkward(spark).withColumn("bin_id", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("tokens", F.lit("x"))
     got = P.pack(df, capacity=1000).collect()
