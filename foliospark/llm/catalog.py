@@ -25,7 +25,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.Join(table(spark, sf_dir, "documents")).pairs()
+    return near_join.Join(table(spark, sf_dir, "documents")).summary()
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,23 +16,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session with a local master gets a folder of its own; on a cluster
+    there is no such folder to be had, and an error says so.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = found.get() if found.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it: lineage ends there, and a lost executor costs nothing."""
+    """Write a table into the shared folder and read it: lineage ends there, and a lost executor costs nothing.
+
+    The table stays until discard() or discard_all(), as frames made from it are read later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    _delete(df.sparkSession, df._path)
+    _written[df.sparkSession.sparkContext.applicationId].remove(df._path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Delete all tables of materialize() that this application wrote: for when its results are written. How many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def word_count(text):
@@ -38,15 +74,46 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+class Numbered:
+    """A frame whose columns go by place, so that names may clash with each other or with ours, in any case of letters."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"_c{k}" for k in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> Column:
+        """The first column of that name, to the letter if there is one."""
+        return F.col(f"_c{self.place(name)}")
+
+    def place(self, name: str) -> int:
+        exact = [k for k, n in enumerate(self.names) if n == name] or [k for k, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not exact:
+            raise ValueError(f"no column {name}; there are {', '.join(self.names)}")
+        return exact[0]
+
+    def row(self) -> Column:
+        return F.struct(*[F.col(c) for c in self.df.columns])
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        """The columns of row(), here named row, under their names."""
+        return df.select(*[F.col(f"row._c{k}").alias(n) for k, n in enumerate(self.names)])
+
+
+def only(df: DataFrame, **columns: str) -> DataFrame:
+    """Columns by new name, from those of df by name."""
+    by_place = Numbered(df)
+    return by_place.df.select(*[by_place[c].alias(n) for n, c in columns.items()])
+
+
 BATCH_ROWS = 2000
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow in batches of few rows: with very long texts Spark's usual 10,000 would be gigabytes in each worker.
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
-    A session that has chosen its own number keeps it.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of few rows. Spark bounds the bytes of those that it sends (64 MB), which a single longer text alone exceeds."""
+    return df.mapInArrow(lambda batches: run(in_slices(batches)), schema)
