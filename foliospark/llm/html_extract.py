@@ -13,7 +13,9 @@ less nav, aside, footer, header and form in it. These two tags are hidden from t
 features (they count as div), so the model carries over to pages that don't say.
 
 Null html gives a row with null content; a page without text gives empty content. Repeated
-rows and null page_id are as they are; extra columns make no difference. A page is parsed whole.
+rows and null page_id are as they are; extra columns make no difference, and their names may clash.
+A page is parsed whole, however long. A marginal that ties with the threshold counts as content. An empty
+table gives an empty result; a model fitted without labelled pages has marginals of 1/2 throughout, so all text is content.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import map_arrow
+from foliospark.llm.runtime import map_arrow, only
 
 SCHEMA = "page_id long, url string, content string, text_nodes int, content_nodes int"
 TEXT = "#text"
@@ -42,7 +44,9 @@ GROUPS = [("p", "pre", "blockquote"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li
 GROUP = {tag: k for k, tags in enumerate(GROUPS) for tag in tags}
 OTHER, LEAF = len(GROUPS), len(GROUPS) + 1
 HINT = re.compile(r"\b(ad|ads|advert|nav|menu|foot|footer|side|sidebar|banner|promo|cookie|share|social|comment|breadcrumb)", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?", re.S)
+#: A quote opens only after an equals sign, and hides a > up to its end if it has one.
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')?)*)>?""", re.S)
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I | re.A) for tag in RAW}
 BOILER = frozenset(["nav", "aside", "footer", "header", "form"])
 FEATURES = LEAF + 1 + LEAF + 1 + 8
 
@@ -70,7 +74,6 @@ def parse(source: str) -> tuple[Page, bool]:
     page, stack, at, said = Page(), [0], 0, False
     tags = page.tag
     end, size = 0, len(source)
-    lower = None
     while at < size:
         m = TOKEN.search(source, at)
         start = m.start() if m else size
@@ -118,10 +121,9 @@ def parse(source: str) -> tuple[Page, bool]:
         attributes = m[3]
         node = page.add(top, tag, None, bool(attributes and HINT.search(attributes)), label)
         if tag in RAW:
-            lower = lower or source.lower()
-            close = lower.find(f"</{tag}", at)
-            at = end = size if close < 0 else close
-            if close >= 0:
+            close = ENDS[tag].search(source, at)
+            at = end = close.start() if close else size
+            if close:
                 stack.append(node)
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
@@ -241,8 +243,8 @@ def train(f: Forest, steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> M
 
 def fit(df: DataFrame, max_pages: int = 300) -> Model:
     """Train on at most max_pages pages that say what their content is: those with the least hash of their page_id."""
-    said = F.lower("html").rlike(r"<(article|main)[\s>]")
-    rows = df.where(said).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(max_pages).toArrow().to_pylist()
+    pages = only(df, page_id="page_id", html="html")
+    rows = pages.where(F.lower("html").rlike(r"<(article|main)[\s>]")).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(max_pages).toArrow().to_pylist()
     pages = [p for p, ok in (parse(r["html"]) for r in rows) if ok]
     return train(forest(pages)) if pages else Model(np.zeros(FEATURES), np.zeros((2, 2, 2)))
 
@@ -272,4 +274,4 @@ def extract(df: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 text, nodes, kept = zip(*(next(found) if s is not None else (None, 0, 0) for s in sources))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(nodes, pa.int32()), pa.array(kept, pa.int32())], ["page_id", "url", "content", "text_nodes", "content_nodes"])
 
-    return map_arrow(df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html")), run, SCHEMA)
+    return map_arrow(only(df, page_id="page_id", url="url", html="html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), run, SCHEMA)

@@ -1,3 +1,4 @@
+import html
 import itertools
 import random
 
@@ -84,3 +85,27 @@ def test_awkward_rows(spark):
         assert len({x.content for x in got if x.page_id is None}) == 1
     none = spark.createDataFrame([], PAGES)
     assert H.extract(none, H.fit(none)).count() == 0
+
+
+def leaf_texts(source):
+    page, _ = H.parse(source)
+    return [html.unescape(t).strip() for t in page.text if t is not None]
+
+
+def test_letters_that_grow_in_lower_case_and_quoted_angles():
+    source = "<p>" + "\u0130" * 30 + "</p><SCRIPT>var a = '<p>no</p>';</Script><p>after it</p><style>x</STYLE ><p>end</p>"
+    assert leaf_texts(source) == ["\u0130" * 30, "after it", "end"]
+    assert leaf_texts('<a title="a > b" href="x">link</a>') == ["link"]
+    assert leaf_texts("<a title='1 > 0' b>one</a> <img alt = \"a>b\"> two") == ["one", "two"]
+    assert leaf_texts("<p don't>it's <b>here</b></p>") == ["it's", "here"]
+    assert leaf_texts('<a title="open>text</a> rest') == ["text", "rest"]
+    assert leaf_texts("<script>a</scripty>b</\u017fcript>c</script>d") == ["d"]
+    assert leaf_texts("<a " + "=" * 50_000 + "\"" * 50_000 + ">z") == ["z"]
+
+
+def test_empty_table_ties_and_clashing_names(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    model = H.fit(none)
+    assert H.extract(none, model).count() == 0
+    some = spark.createDataFrame([(1, "u", "<p>a</p><p>b</p>"), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "1 as content", "'x' as html", "2 as URL")
+    assert sorted(map(tuple, H.extract(some, model).collect()), key=repr) == [(1, "u", "a\nb", 2, 2), (None, None, None, 0, 0)]
