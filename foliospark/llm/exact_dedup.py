@@ -1,13 +1,22 @@
 """Exact deduplication with a cuckoo-filter index of live digests.
 
-Rows go by digest to their shard (after each input partition has dropped copies of its
-own, so a text repeated millions of times sends a few rows per partition and not all of
-them), sorted by digest there. The shard's index says whether a digest is live; a
-hit counts only if the text is equal to one in the digest's bucket of contents, so
+A CuckooIndex is a filter beside the bucketed contents of what is live, from whose digests it is
+filled again when it overflows. It is used twice, each time with deletions that bound its size:
+
+Before the exchange each partition drops copies of its own, so a text repeated millions of
+times sends a few rows per partition and not all of them. The index holds the last MOST_LIVE digests and
+MOST_CHARS characters of contents; beyond that the oldest are deleted, which only lets more rows through. Contents are
+stored for digests met twice, so a partition without copies holds none.
+
+After the exchange rows come sorted by digest, and best rank first. A digest that was passed is deleted
+from the index with its bucket, so a task holds the different texts of one digest and no more.
+
+A hit of the filter counts only if the text is equal to one in the digest's bucket, so
 neither fingerprints nor digests that collide can drop a row. Of equal texts the row
 with the least doc_id stays (null last), then the one with the least hash of all
 columns; fully repeated rows leave one. A row with null text is a copy of nothing and
-stays. Empty texts are equal to each other. Texts are compared whole, byte by byte.
+stays. Empty texts are equal to each other. Texts are compared whole, byte by byte, however long. Extra
+columns stay as they are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import map_arrow
+from foliospark.llm.runtime import Numbered, map_arrow
 
 _MASK = 2**64 - 1
 SLOTS = 4
@@ -32,12 +41,11 @@ def _mix(x: int) -> int:
 
 
 class CuckooIndex:
-    """Partial-key cuckoo filter with 16-bit fingerprints in buckets of 4, beside the stored keys.
+    """Partial-key cuckoo filter with 16-bit fingerprints in buckets of 4, beside the contents of the live keys.
 
-    contains() may say yes to a digest that was never inserted (about 1 in 8,000) and
-    never says no to a live one. When an insertion finds no place after MOST_KICKS
-    moves, the table doubles and is filled again from the stored keys. A key may be
-    inserted once; insert() of a live key does nothing and says False.
+    contains() may say yes to a key that was never inserted (about 1 in 8,000) and never says no
+    to a live one; `contents` has the truth, and is looked at only after a yes. When an insertion
+    finds no place after MOST_KICKS moves, the table doubles and is filled again from the stored keys.
     """
 
     MOST_KICKS = 200
@@ -45,7 +53,7 @@ class CuckooIndex:
     def __init__(self, buckets: int = 64):
         self.buckets = 1 << max(0, (buckets - 1).bit_length())
         self.table: list[list[int]] = [[] for _ in range(self.buckets)]
-        self.keys: set[int] = set()
+        self.contents: dict[int, list | tuple] = {}
         self.resizes = 0
 
     def _places(self, key: int) -> tuple[int, int, int]:
@@ -59,12 +67,17 @@ class CuckooIndex:
         return mark in self.table[a] or mark in self.table[b]
 
     def __len__(self) -> int:
-        return len(self.keys)
+        return len(self.contents)
 
-    def insert(self, key: int) -> bool:
-        if key in self.keys:
+    def get(self, key: int) -> list | tuple | None:
+        """The contents of a live key."""
+        return self.contents.get(key) if self.contains(key) else None
+
+    def insert(self, key: int, contents: list | tuple = ()) -> bool:
+        """Make a key live; False, and nothing else, if it is."""
+        if self.get(key) is not None:
             return False
-        self.keys.add(key)
+        self.contents[key] = contents
         if not self._place(key):
             self._resize()
         return True
@@ -91,56 +104,64 @@ class CuckooIndex:
             self.buckets *= 2
             self.resizes += 1
             self.table = [[] for _ in range(self.buckets)]
-            if all(map(self._place, self.keys)):
+            if all(map(self._place, self.contents)):
                 return
 
-    def delete(self, key: int) -> bool:
-        if key not in self.keys:
-            return False
-        self.keys.discard(key)
+    def delete(self, key: int) -> list | tuple | None:
+        """Take a key out, and give its contents; None, and nothing else, if it isn't live."""
+        if self.get(key) is None:
+            return None
         mark, a, b = self._places(key)
         self.table[a if mark in self.table[a] else b].remove(mark)
-        return True
+        return self.contents.pop(key)
+
+    def oldest(self) -> int:
+        return next(iter(self.contents))
 
 
 class LiveTexts:
-    """The index with its buckets of contents: digest -> list of [text, rank, row]."""
+    """Live texts by digest; contents: lists of [text, rank, row]."""
 
     def __init__(self):
-        self.index, self.buckets = CuckooIndex(), {}
+        self.index = CuckooIndex()
 
     def offer(self, digest: int, text: str, rank: tuple, row: int) -> int | None:
         """Make a row live. Gives the row that its arrival drops: itself, or the live copy that ranks behind it."""
-        if self.index.contains(digest):
-            for live in self.buckets.get(digest, ()):
-                if live[0] == text:
-                    if rank >= live[1]:
-                        return row
-                    dropped, live[1], live[2] = live[2], rank, row
-                    return dropped
-        self.index.insert(digest)
-        self.buckets.setdefault(digest, []).append([text, rank, row])
+        held = self.index.get(digest)
+        for live in held or ():
+            if live[0] == text:
+                if rank >= live[1]:
+                    return row
+                dropped, live[1], live[2] = live[2], rank, row
+                return dropped
+        if held is None:
+            self.index.insert(digest, [[text, rank, row]])
+        else:
+            self.index.contents[digest] = [*held, [text, rank, row]]
         return None
 
     def withdraw(self, digest: int, text: str) -> bool:
         """Take a live text out; its digest leaves the index with the bucket's last text."""
-        kept = [x for x in self.buckets.get(digest, ()) if x[0] != text]
-        if len(kept) == len(self.buckets.get(digest, ())):
+        held = self.index.get(digest) or []
+        kept = [x for x in held if x[0] != text]
+        if len(kept) == len(held):
             return False
-        self.buckets[digest] = kept
+        self.index.contents[digest] = kept
         if not kept:
-            del self.buckets[digest]
             self.index.delete(digest)
         return True
 
 
-def _combine(batches: Iterator[pa.RecordBatch], text: str, key: str | None) -> Iterator[pa.RecordBatch]:
+MOST_LIVE, MOST_CHARS = 1 << 18, 1 << 26
+
+
+def _combine(batches: Iterator[pa.RecordBatch], text: str, key: str | None, most_live: int = MOST_LIVE, most_chars: int = MOST_CHARS) -> Iterator[pa.RecordBatch]:
     """Columns: row (struct), digest, tie. Drops what an earlier row of the partition already stands for.
 
-    The index holds every digest, the buckets only contents met at least twice; the second
-    row of a text goes on, as does any that ranks before those seen, and the shard settles it.
+    The second row of a text goes on, as does any that ranks before those seen, and the shard settles it.
     """
-    live, row = LiveTexts(), 0
+    live, row, held = LiveTexts(), 0, 0
+    index = live.index
     for batch in batches:
         rows = batch.column(0)
         texts = rows.field(text)
@@ -149,12 +170,15 @@ def _combine(batches: Iterator[pa.RecordBatch], text: str, key: str | None) -> I
         for i, (d, tie) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             if not texts[i].is_valid:
                 continue
-            if not live.index.contains(d):
-                live.index.insert(d)
-                continue
-            row += 1
-            rank = (keys[i] is None, keys[i] if keys[i] is not None else 0, tie)
-            drop[i] = live.offer(d, texts[i].as_py(), rank, row) == row
+            if not index.insert(d):
+                row += 1
+                rank = (keys[i] is None, keys[i] if keys[i] is not None else 0, tie)
+                value = texts[i].as_py()
+                before = len(index.contents[d])
+                drop[i] = live.offer(d, value, rank, row) == row
+                held += len(value) * (len(index.contents[d]) - before)
+            while len(index) > most_live or held > most_chars:
+                held -= sum(len(x[0]) for x in index.delete(index.oldest()))
         yield batch.filter(pa.array(~drop)) if drop.any() else batch
 
 
@@ -162,33 +186,32 @@ def _drop_sorted(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Re
     """Rows come by digest, and best rank first: the first of equal texts stays."""
     live, last = LiveTexts(), None
     for batch in batches:
-        rows = batch.column(0)
-        texts = rows.field(text)
-        digests = batch.column(1).to_pylist()
+        texts = batch.column(0).field(text)
         keep = np.ones(batch.num_rows, bool)
-        for i, d in enumerate(digests):
-            if d != last:
-                if last is not None:
-                    live.buckets.pop(last, None)  # its digest stays live; its contents can't be met again
-                last = d
+        digests = batch.column(1).to_numpy()
+        many = np.concatenate([digests[1:] == digests[:-1], [True]])  # what follows the batch isn't known
+        many[1:] |= digests[1:] == digests[:-1]
+        many[0] = True  # what came before it may be equal
+        for i in np.flatnonzero(many):
+            d = int(digests[i])
+            if d != last and last is not None:
+                live.index.delete(last)
+            last = d
             if texts[i].is_valid:
-                if not live.index.contains(d):
-                    live.index.insert(d)
-                    live.buckets[d] = [[texts[i].as_py(), (), i]]
-                else:
-                    keep[i] = live.offer(d, texts[i].as_py(), (), i) is None
+                keep[i] = live.offer(d, texts[i].as_py(), (), int(i)) is None
         yield batch.filter(pa.array(keep))
 
 
 def exact_dedup(df: DataFrame, text: str = "text", key: str | None = "doc_id") -> DataFrame:
     """The rows of df without copies, all columns as they are. See above for ties and nulls."""
-    plain = [F.col(f"`{c}`") for c in df.columns]
     # The row is one struct, so that no column of its can clash with ours. Null texts spread by their other columns.
-    tie = F.xxhash64(*[c for c in plain if c is not None])
-    digest = F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).otherwise(tie)
-    packed = df.select(F.struct(*plain).alias("row"), digest.alias("digest"), tie.alias("tie"))
+    rows = Numbered(df)
+    tie = F.xxhash64(*rows.df.columns)
+    digest = F.when(rows[text].isNotNull(), F.xxhash64(rows[text])).otherwise(tie)
+    packed = rows.df.select(rows.row().alias("row"), digest.alias("digest"), tie.alias("tie"))
+    text, key = f"_c{rows.place(text)}", key and f"_c{rows.place(key)}"
     combine = lambda batches: _combine(batches, text, key)
     settle = lambda batches: _drop_sorted(batches, text)
     order = [F.col("digest"), *([F.col(f"row.{key}").asc_nulls_last()] if key else []), F.col("tie")]
     spread = map_arrow(packed, combine, packed.schema).repartition("digest").sortWithinPartitions(*order)
-    return map_arrow(spread, settle, packed.schema).select("row.*")
+    return rows.restored(map_arrow(spread, settle, packed.schema))
