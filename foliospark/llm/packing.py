@@ -10,12 +10,17 @@ compatible bin. If there is none, a bin is opened.
 Clusters are of texts equal up to case and white space, or those of a column given instead.
 Besides, documents can be of groups of near copies (`near`), of which a bin takes one too.
 
-Documents are spread by a hash over shards of about `shard` pieces, packed each by
-itself, so work per document stays the same at any size. Shards never share a bin.
+Documents are spread by a hash over shards of about `shard` documents, packed each by
+itself, so work per document stays the same at any size. What a shard leaves in bins less than half
+full is packed again, over fewer shards of its own, until that frees less than one bin in 50: pieces that had
+no partner in their shard find it in another.
 
 Documents without tokens (null or empty text) are in no bin. Null source and null doc_id
 are values like others: two documents of unknown source don't share a bin. Repeated rows
-are of one cluster and so never meet. Extra columns make no difference.
+are of one cluster and so never meet; they are counted before they are spread, by their number, so one
+row repeated without end is no shard of its own. Texts count whole, however long: one of more tokens than a bin
+is cut into bins of its own and a rest. Extra columns make no difference, and their names may clash.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import materialize, word_count
+from foliospark.llm.runtime import Numbered, materialize, word_count
 
 SCHEMA = "doc_id long, piece int, tokens long, bin_id long, bin_offset long, source string"
 BIN_BITS = 32
@@ -65,32 +70,70 @@ def cluster_of(text: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", "")))
 
 
+#: Copies of a row that one row of a table of counts becomes at a time.
+RUN = 10_000
+PIECES = "doc_id long, piece int, tokens long, cluster string, near long, source string, bin long, bin_offset long, half boolean"
+NAMES = ["doc_id", "piece", "tokens", "cluster", "near", "source", "bin", "bin_offset", "half"]
+
+
+def _pack_shard(capacity: int):
+    """Packs a shard's pieces, and documents that are still to be cut (piece -1)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        columns = [rows.column(n).to_pylist() for n in ("doc_id", "piece", "tokens", "cluster", "near", "source")]
+        rank = lambda r: (r[0] is None, r[0] or 0, r[1], r[3], r[5] or "")
+        done, rests, bins = [], [], 0
+        first = rows.column("shard")[0].as_py() << BIN_BITS if rows.num_rows else 0
+        for r in sorted(zip(*columns), key=rank):
+            doc, piece, tokens, *rest = r
+            if piece >= 0:
+                rests.append(r)
+                continue
+            for k in range(tokens // capacity):
+                done.append((doc, k, capacity, *rest, first + bins, 0, False))
+                bins += 1
+            if tokens % capacity:
+                rests.append((doc, tokens // capacity, tokens % capacity, *rest))
+        rests.sort(key=lambda r: (-r[2], *rank(r)))
+        placed = best_fit([r[2] for r in rests], [r[5] for r in rests], [r[3] for r in rests], capacity, [r[4] for r in rests])
+        filled: dict[int, int] = {}
+        for r, (b, _) in zip(rests, placed):
+            filled[b] = filled.get(b, 0) + r[2]
+        done += [(*r, first + bins + b, offset, 2 * filled[b] < capacity) for r, (b, offset) in zip(rests, placed)]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*done) if done else [[]] * 9, kinds)], NAMES)
+
+    return run
+
+
 def pack(df: DataFrame, capacity: int = 2048, shard: int = 4096, text: str = "text", source: str = "source", key: str = "doc_id", cluster: str | None = None, near: DataFrame | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, tokens, bin_id, bin_offset, source. cluster: a column of known duplicate clusters; near: (doc_id, near) of documents with near copies, a row each."""
     if capacity < 1 or shard < 1:
         raise ValueError("capacity and shard must be positive")
-    marks = F.col(cluster).cast("string") if cluster else cluster_of(F.col(text)).cast("string")
-    light = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("tokens"), marks.alias("cluster")).where("tokens > 0")
+    c = Numbered(df)
+    marks = c[cluster].cast("string") if cluster else cluster_of(c[text]).cast("string")
+    light = c.df.select(c[key].cast("long").alias("doc_id"), c[source].cast("string").alias("source"), word_count(c[text]).alias("tokens"), F.coalesce(marks, F.lit("")).alias("cluster")).where("tokens > 0")
+    light = light.groupBy("doc_id", "source", "tokens", "cluster").agg(F.count("*").alias("copies"))
     light = light.withColumn("near", F.lit(None).cast("long")) if near is None else light.join(near.select("doc_id", "near"), "doc_id", "left")
     light = materialize(light)
-    shards = max(1, -(-light.count() // shard))
-    spread = light.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
-
-    def run(rows: pa.Table) -> pa.Table:
-        docs = sorted(((t, (d is None, d or 0), c, s, d, n) for d, s, t, c, n in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "source", "tokens", "cluster", "near")))), key=lambda r: (r[0], r[1], r[2], r[3] or ""))
-        first = rows.column("shard")[0].as_py() << BIN_BITS if rows.num_rows else 0
-        done, rests, bins = [], [], 0
-        for tokens, rank, cluster, source, doc, group in docs:
-            for piece in range(tokens // capacity):
-                done.append((doc, piece, capacity, first + bins, 0, source))
-                bins += 1
-            if tokens % capacity:
-                rests.append((-(tokens % capacity), rank, tokens // capacity, cluster, source, doc, group))
-        rests.sort(key=lambda r: (r[0], r[1], r[2], r[3], r[4] or ""))
-        for (size, _, piece, _, source, doc, _), (b, offset) in zip(rests, best_fit([-r[0] for r in rests], [r[4] for r in rests], [r[3] for r in rests], capacity, [r[6] for r in rests])):
-            done.append((doc, piece, -size, first + bins + b, offset, source))
-        columns = list(zip(*done))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "tokens", "bin_id", "bin_offset", "source"])
-
-    return spread.groupBy("shard").applyInArrow(run, SCHEMA)
+    left, most = light.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    rows = light.withColumn("copy", F.lit(0).cast("long"))
+    if most > 1:
+        runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN)))
+        nth = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(RUN), F.col("copies") - F.col("run") * RUN) - 1))
+        rows = light.withColumn("run", runs).withColumn("nth", nth).withColumn("copy", F.col("run") * RUN + F.col("nth"))
+    rows = rows.withColumn("piece", F.lit(-1))
+    done, begun, turn = None, 0, 0
+    while True:
+        shards = max(1, -(-left // shard))
+        place = F.pmod(F.xxhash64("doc_id", "cluster", "copy", F.lit(turn)), F.lit(shards)) + begun
+        packed = materialize(rows.withColumn("shard", place).groupBy("shard").applyInArrow(_pack_shard(capacity), PIECES))
+        bins, half, few = packed.agg(F.count_distinct("bin"), F.count_distinct(F.when(F.col("half"), F.col("bin"))), F.count_if("half")).first()
+        if shards == 1 or not half or (turn and 50 * (before - bins) < before):
+            last = packed if done is None else done.unionByName(packed)
+            break
+        kept = packed.where("not half")
+        done = kept if done is None else done.unionByName(kept)
+        rows = packed.where("half").select("doc_id", "piece", "tokens", "cluster", "near", "source", F.col("bin").alias("copy"))
+        begun, before, left, turn = begun + shards, half, few, turn + 1
+    return last.select("doc_id", "piece", "tokens", F.col("bin").alias("bin_id"), "bin_offset", "source")

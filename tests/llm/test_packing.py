@@ -83,6 +83,28 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     assert len(bins) < len(rows)
 
 
+def test_leftovers_of_shards_are_packed_together(spark):
+    """Sources of one shard's leftovers differ from another's, so that only packing across shards fills their bins."""
+    r = random.Random(6)
+    rows = [(i, prose(i, r.randint(2, 12)), r.choice(["hot", f"s{r.randint(0, 30)}"])) for i in range(600)]
+    df = docs(spark, [(i, t, "en", s) for i, t, s in rows])
+    clusters = {i: t.replace(" ", "") for i, t, _ in rows}
+    found = {n: P.pack(df, capacity=64, shard=n).collect() for n in (10, 1000)}
+    for got in found.values():
+        check(rows, got, 64, clusters)
+    bins = {n: len({x.bin_id for x in got}) for n, got in found.items()}
+    alone = len({x.bin_id for x in found[10] if x.bin_id >> P.BIN_BITS < 60})
+    assert bins[1000] <= bins[10] <= 1.15 * bins[1000]
+    assert alone < bins[10]  # later passes made bins of their own
+
+
+def test_one_row_repeated_without_end_is_spread(spark):
+    df = spark.range(25_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source"))
+    got = P.pack(df, capacity=8, shard=5000)
+    assert got.count() == got.select("bin_id").distinct().count() == 25_000
+    assert got.selectExpr(f"bin_id >> {P.BIN_BITS} as shard").groupBy("shard").count().agg(F.max("count")).first()[0] < 8000
+
+
 def test_awkward_rows(spark):
     df = awkward(spark).withColumn("bin_id", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("tokens", F.lit("x"))
     got = P.pack(df, capacity=1000).collect()
