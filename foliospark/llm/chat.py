@@ -9,7 +9,9 @@ smaller conv_id, is removed by an anti-join; what is left is rendered.
 Turns are in order of turn (null first), then role, then text; repeated turns count as
 often as they occur. Null role: "unknown"; null text: an empty turn. Rows with null
 conv_id are left out. Marks of the format inside a text are defused with a space, so a
-text can't open or close a turn. Extra columns make no difference.
+text can't open or close a turn. Extra columns make no difference, and their names may clash. Texts are hashed and
+rendered whole, however long. Two turns are equal if both of their 64-bit hashes are: contents aren't
+compared again. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.runtime import only
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def chat_format(df: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered) of the maximal conversations."""
-    turns = df.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = only(df, conv_id="conv_id", turn="turn", role="role", text="text").where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     placed = turns.select("*", F.row_number().over(order).alias("pos"))
     rolling = Window.partitionBy("conv_id").orderBy("pos")

@@ -7,6 +7,10 @@ from a context that has not seen the byte, without the bytes already excluded, a
 then of the byte itself; below order 0 all 256 bytes left are alike. Code lengths
 are whole numbers of 2^-16 bits, so their sum depends neither on batches nor on
 order. The language with the fewest bits wins; equal ones: the first by name.
+
+Texts count whole, however long. Repeated rows and null keys are judged like others; extra columns make no
+difference, and their names may clash. An empty table, or one without labelled rows, gives a model
+without languages, by which nothing is kept.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import map_arrow
+from foliospark.llm.runtime import Numbered, map_arrow, only
 from foliospark.llm.textops import U, blocks, utf8
 
 UNIT = 1 << 16
@@ -210,12 +214,12 @@ class Model:
 
 
 def fit(df: DataFrame, per_language: int = 200, max_order: int = 3, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    """Count the trees over at most `per_language` labelled rows of each language: those with the least hash of their key, whole texts."""
-    rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text"))
+    """Count the trees over at most `per_language` rows of each language, whole texts: one row (the least text) of each of the keys with the least hash."""
+    rows = only(df, key=key, label=label, text=text).where("label is not null and key is not null")
     least = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    chosen = rows.where("label is not null and key is not null").select("key", "label").withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= per_language)
-    # At most per_language rows a language: bounded by the parameter, not by the data.
-    found = rows.join(F.broadcast(chosen.select("key", "label").distinct()), ["key", "label"], "left_semi").where("text is not null").toArrow().to_pylist()
+    # Each partition passes on its least keys alone; a repeated key has one rank, and gives one text before anything is collected.
+    chosen = rows.select("key", "label").withColumn("nth", F.dense_rank().over(least)).where(F.col("nth") <= per_language).select("key", "label").distinct()
+    found = rows.where("text is not null").join(F.broadcast(chosen), ["key", "label"], "left_semi").groupBy("key", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
     samples: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["label"], r["key"])):
         samples.setdefault(r["label"], []).append(r["text"])
@@ -254,15 +258,16 @@ def identify(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0, text:
                 ["doc_id", "language", "bits", "bits_per_byte", "keep"],
             )
 
-    return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), run, SCHEMA)
+    return map_arrow(only(df, key=key, text=text).select(F.col("key").cast("long"), "text"), run, SCHEMA)
 
 
 def keep_identified(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0, text: str = "text") -> DataFrame:
     """The rows that identify() keeps, with all of their columns."""
-    at = df.columns.index(text)
+    rows = Numbered(df)
+    at = rows.place(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_best(model, batch.column(at), max_bits_per_byte)[3]))
 
-    return map_arrow(df, run, df.schema)
+    return map_arrow(rows.df, run, rows.df.schema).toDF(*rows.names)

@@ -17,7 +17,8 @@ Before that a text is passed over if even all of its words, in any order, could
 enough. So long texts without a license cost one vectorised pass.
 
 Null, empty and wordless texts hold no license. Rows with null doc_id are scanned like
-others. Repeated rows give repeated results; extra columns make no difference.
+others. Repeated rows give repeated results; extra columns make no difference, and their names may clash.
+Of parts of a text that cover alike the one that ends first counts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import map_arrow
+from foliospark.llm.runtime import map_arrow, only
 from foliospark.llm.textops import U, Words, blocks, utf8
 
 SCHEMA = "doc_id long, license string, coverage double, matched_words int, first_word int, last_word int"
@@ -220,4 +221,4 @@ def scan(df: DataFrame, threshold: float = 0.8, templates: dict[str, str] | None
                     ["doc_id", "license", "coverage", "matched_words", "first_word", "last_word"],
                 )
 
-    return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), run, SCHEMA)
+    return map_arrow(only(df, key=key, text=text).select(F.col("key").cast("long"), "text"), run, SCHEMA)

@@ -12,7 +12,8 @@ budget's place is found by narrowing down finish times over aggregates.
 
 Null source: a source of its own. Null or empty text: 0 tokens, so its row comes when its
 turn does. Ties of finish time and hash: by doc_id (null last), then by a hash of all
-columns. Repeated rows are documents of their own. Extra columns stay as they are.
+columns. Repeated rows are documents of their own. Extra columns stay as they are, whatever
+their names. Texts are counted whole, however long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import materialize, word_count
+from foliospark.llm.runtime import Numbered, materialize, word_count
 
 BINS = 4096
 FEW = 100_000
@@ -42,12 +43,12 @@ def _queue(source: Column) -> Column:
 
 class Mixture:
     def __init__(self, df: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, budget_share: float = 0.8, budget_tokens: int | None = None, seed: str = "mix-1", text: str = "text", source: str = "source", key: str = "doc_id"):
-        columns = [F.col(f"`{c}`") for c in df.columns]
-        draw = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-        self.weights, self.default, self.row = weights or {}, default, F.struct(*columns)
-        self.base = df.select(
-            self.row.alias("row"), F.col(key).cast("long").alias("key"), F.col(source).alias("source"), _queue(F.col(source)).alias("queue"), word_count(F.col(text)).alias("tokens"),
-            draw.alias("draw"), F.xxhash64(*columns).alias("tie"), F.conv(F.substring(draw, 1, 3), 16, 10).cast("int").alias("slice"),
+        self.numbered = c = Numbered(df)
+        draw = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(c[key].cast("string"), F.lit(""))).cast("binary"))
+        self.weights, self.default = weights or {}, default
+        self.base = c.df.select(
+            c.row().alias("row"), c[key].cast("long").alias("key"), c[source].alias("source"), _queue(c[source]).alias("queue"), word_count(c[text]).alias("tokens"),
+            draw.alias("draw"), F.xxhash64(*c.df.columns).alias("tie"), F.conv(F.substring(draw, 1, 3), 16, 10).cast("int").alias("slice"),
         )
         self.light = materialize(self.base.drop("row"))
         by_slice = self.light.groupBy("queue", "slice").agg(F.sum("tokens").alias("n"))
@@ -111,4 +112,4 @@ class Mixture:
 
     def rows(self) -> DataFrame:
         """The rows of the input within the budget, sorted over all partitions, all columns as they are."""
-        return self.within(self.timed(self.base)).orderBy(*self.order()).select("row.*")
+        return self.numbered.restored(self.within(self.timed(self.base)).orderBy(*self.order()).select("row"))

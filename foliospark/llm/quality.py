@@ -2,8 +2,11 @@
 
 Features of a text are its 1- to `n`-grams of words and runs of punctuation, hashed to
 2^bits places, each with its count over the root of the number of n-grams. The model
-is fitted on a bounded sample of labelled rows (max_rows, those with the least hash of
-their key) in a fixed order; scoring is a sparse dot product over the whole text.
+is fitted on a bounded sample of labelled rows (at most max_rows: one row, the least text, of each of the
+keys with the least hash) in a fixed order; scoring is a sparse dot product over the whole text, however long.
+
+A key with both labels counts as good. Null labels, labels other than 0 and 1, null keys and null
+texts are not learned from. Scores that tie with the threshold are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import map_arrow
+from foliospark.llm.runtime import map_arrow, only
 from foliospark.llm.textops import U, Words, blocks, int64_list, utf8
 
 SCHEMA = "doc_id long, quality double, keep boolean"
@@ -78,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 2,
     good rows. Without labelled rows every score is 0.5 and everything with words is kept.
     """
     spark = docs.sparkSession
-    marked = labels.select(F.col("doc_id").alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
+    marked = only(labels, key="doc_id", y=label).select("key", F.col("y").cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
     # A sample bounded by max_rows, so it may be broadcast at any size of the tables.
     sample = spark.createDataFrame(marked.orderBy(F.xxhash64("key"), "key").limit(max_rows).toArrow())
 
@@ -92,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 2,
                     at = i + r
                     yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1], batch.column(1)[at : at + 1], int64_list(row, np.array([0, len(row)]))], ["key", "y", "places"])
 
-    found = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("t")).where("t is not null").join(F.broadcast(sample), "key").select("key", "y", "t")
+    found = only(docs, key="doc_id", t="text").where("t is not null").join(F.broadcast(sample), "key").groupBy("key").agg(F.first("y").alias("y"), F.min("t").alias("t"))
     got = map_arrow(found, places, "key long, y int, places array<long>").toArrow().sort_by("key")
     if not got.num_rows:
         return Model(np.zeros(1 << bits), 0.0, n, bits, 0.5)
@@ -112,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 2,
 def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row: quality (null for null text or text without words) and keep (false there).
 
-    Repeated rows score alike; other columns make no difference.
+    Repeated rows score alike; other columns make no difference, and their names may clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,4 +127,4 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
                 keep = ~none & (found >= model.threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, mask=none), pa.array(keep)], ["doc_id", "quality", "keep"])
 
-    return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), run, SCHEMA)
+    return map_arrow(only(df, key=key, text=text).select(F.col("key").cast("long"), "text"), run, SCHEMA)

@@ -101,3 +101,15 @@ def test_empty_tables(spark):
     assert model.languages == [] and L.identify(none, model).count() == 0
     unlabelled = docs(spark, [(1, "text", None, "s")])
     assert L.identify(unlabelled, L.fit(unlabelled)).first().keep is False
+
+
+def test_a_repeated_key_counts_once_in_the_sample(spark, monkeypatch):
+    seen = {}
+    real = L.Model.fit
+    monkeypatch.setattr(L.Model, "fit", staticmethod(lambda samples, order: seen.update(samples) or real(samples, order)))
+    hot = spark.range(5000).selectExpr("1L as doc_id", "concat('text ', id) as text", "'en' as lang")
+    more = spark.range(300).selectExpr("id + 10 as doc_id", "concat('more ', id) as text", "'en' as lang")
+    L.fit(hot.unionByName(more), per_language=200)
+    assert 190 <= len(seen["en"]) <= 200
+    L.fit(hot.selectExpr("*", "'de' as lang", "'x' as Text"), per_language=3)
+    assert {k: len(v) for k, v in seen.items()} == {"en": 1}

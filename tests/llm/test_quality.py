@@ -75,3 +75,15 @@ def test_awkward_rows_and_empty_tables(spark):
     assert {(x.quality, x.keep) for x in Q.score(df, Q.fit(df, none)).collect()} == {(0.5, True)}
     nulls = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert Q.score(df.where("false"), Q.fit(df, nulls)).count() == 0
+
+
+def test_a_repeated_key_counts_once_in_the_sample(spark, monkeypatch):
+    seen = []
+    real = Q.train
+    monkeypatch.setattr(Q, "train", lambda rows, labels, *a, **k: seen.append(len(rows)) or real(rows, labels, *a, **k))
+    texts = spark.range(3000).selectExpr("1L as doc_id", "concat('text ', id) as text").unionByName(spark.range(50).selectExpr("id + 10 as doc_id", "'other words' as text"))
+    labels = spark.range(60).selectExpr("id as doc_id", "int(id % 2) as quality").unionByName(spark.range(2000).selectExpr("1L as doc_id", "1 as quality"))
+    model = Q.fit(texts, labels, max_rows=40)
+    assert seen and max(seen) <= 40
+    assert Q.score(texts.limit(0), model).count() == 0
+    assert Q.score(texts.selectExpr("*", "1 as quality", "'x' as TEXT").limit(2), model).count() == 2
