@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\u001c-\u001f\u0085 ]"
+#: White space as Python's str.split() has it, for the inside of a character class.
+WHITE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, INK = f"[{WHITE}]", f"[^{WHITE}]"
 
 
 def r6(x: Column) -> Column:
@@ -19,7 +21,7 @@ def two(x: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -27,28 +29,38 @@ def word_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def clean_region(text: Column) -> Column:
-    return F.regexp_replace(strip(text), r"\s+", " ")
+    return F.regexp_replace(strip(text), f"{SPACE}+", " ")
 
 
 def clean_chunk(text: Column) -> Column:
     """White space collapsed; then only letters, digits, _ and common punctuation stay."""
-    return F.regexp_replace(F.regexp_replace(strip(text), r"\s+", " "), r"""[^\p{L}\p{M}\p{N}_\s.,;:!?\-()\[\]"'/\\]""", "")
+    return F.regexp_replace(clean_region(text), r"""[^\p{L}\p{M}\p{N}_\s.,;:!?\-()\[\]"'/\\]+""", "")
 
 
-def count_of(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+def group_broken_paragraphs(text: Column) -> Column:
+    """Lines of each paragraph joined by a space; those of lists, and of paragraphs of short lines alone, are paragraphs of their own."""
+    paragraphs = F.split(text, r"\s*\n\s*\n\s*")
+    lines = lambda p: F.split(p, r"\s*\n\s*")
+    apart = lambda p: p.rlike(r"^\s*[•·▪●○■□*\-–]") | F.forall(lines(p), lambda x: word_count(x) < 5)
+    each = F.transform(paragraphs, lambda p: F.when(apart(p), F.array_join(F.filter(lines(p), lambda x: strip(x) != ""), "\n\n")).otherwise(F.regexp_replace(p, r"\s*\n\s*", " ")))
+    return F.array_join(F.filter(each, lambda p: strip(p) != ""), "\n\n")
+
+
+def count_of(text: Column, kind: str) -> Column:
+    """Characters of a class: what is lost when its runs are taken out."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
 
 
 def alnum(text: Column) -> Column:
-    return count_of(text, r"[\p{L}\p{N}]")
+    return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
 def special(text: Column) -> Column:
-    return count_of(text, r"[^\p{L}\p{N}\s]")
+    return count_of(text, rf"[^\p{{L}}\p{{N}}{WHITE}]")
 
 
 def digits(text: Column) -> Column:
@@ -68,15 +80,23 @@ def repeats(text: Column) -> Column:
 
 
 def single_char_words(text: Column) -> Column:
-    return F.size(F.filter(words(text), lambda w: F.length(w) == 1))
+    return single_of(words(text))
 
 
 def long_words(text: Column) -> Column:
-    return F.size(F.filter(words(text), lambda w: F.length(w) > 20))
+    return long_of(words(text))
+
+
+def single_of(listed: Column) -> Column:
+    return F.size(F.filter(listed, lambda w: F.length(w) == 1))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s+", ""))
+def long_of(listed: Column) -> Column:
+    return F.size(F.filter(listed, lambda w: F.length(w) > 20))
+
+
+def chars_of(listed: Column) -> Column:
+    return F.aggregate(listed, F.lit(0), lambda n, w: n + F.length(w))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -117,12 +137,16 @@ def syllables(text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit("[aeiouy]+"))
 
 
+#: A word from its first vowel on, if it has three groups of vowels.
+HARD = rf"[aeiouy]++[^aeiouy{WHITE}]++[aeiouy]++[^aeiouy{WHITE}]++[aeiouy]{INK}*+"
+
+
 def readability(text: Column) -> dict[str, Column]:
-    """Published formulas over characters, words, sentences and vowel groups; nulls for texts without words."""
-    w = F.nullif(word_count(text), F.lit(0)).cast("double")
+    """Published formulas over characters, words, sentences and vowel groups; nulls for texts without words. One pass over the text for each measure."""
+    w = F.nullif(F.regexp_count(text, F.lit(f"{INK}+")), F.lit(0)).cast("double")
     s = F.greatest(sentences(text), F.lit(1)).cast("double")
     chars, syl = alnum(text).cast("double"), syllables(text).cast("double")
-    hard = F.size(F.filter(words(text), lambda x: F.regexp_count(F.lower(x), F.lit("[aeiouy]+")) >= 3)).cast("double")
+    hard = F.regexp_count(F.lower(text), F.lit(HARD)).cast("double")
     return {
         "ari": 4.71 * chars / w + 0.5 * w / s - 21.43,
         "coleman_liau": 0.0588 * (100 * chars / w) - 0.296 * (100 * s / w) - 15.8,

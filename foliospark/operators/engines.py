@@ -160,7 +160,7 @@ def decode_bio(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("pos")
     kept = tokens.where(~F.col("word").isin("[CLS]", "[SEP]", "[PAD]"))
     label = F.col("label")
-    kind = F.substring(label, 3, 50)
+    kind = F.substring(label, F.lit(3), F.length(label))
     run = kept.withColumn("_kind", F.when(label.startswith("B-") | label.startswith("I-"), kind)).withColumn("_prev", F.lag("_kind").over(w))
     run = run.withColumn("_open", F.when(label.startswith("B-") | (label == "O") | ~F.col("_kind").eqNullSafe(F.col("_prev")), 1).otherwise(0))
     run = run.withColumn("entity_no", F.sum("_open").over(w))
@@ -168,6 +168,6 @@ def decode_bio(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     live = run.withColumn("_begin", begins).where("_begin not like 'I-%'").where(F.trim("word") != "")
     text = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda t: t["word"]), " "), " ##", "")
     g = live.groupBy(key, "entity_no", F.col("_begin").alias("first_label")).agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_tokens"), text.alias("text"), F.min("confidence").alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    name = F.substring("first_label", 3, 50)
+    name = F.substring(F.col("first_label"), F.lit(3), F.length("first_label"))
     mapped = F.when(name.isin("HEADER", "TABLE", "LIST", "CAPTION"), F.lower(name)).otherwise("text")
     return g.withColumn("region_type", mapped).drop("entity_no", "first_label")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.operators.classify import layout_type
-from foliospark.operators.grouping import PAGE, islands, place_order
+from foliospark.operators.grouping import PAGE, place_order
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
@@ -22,23 +22,31 @@ def refine_types(regions: DataFrame) -> DataFrame:
     return sized.withColumn("region_type", layout_type(F.col("_w"), F.col("_h"), current)).drop("_w", "_h")
 
 
-def clusters(regions: DataFrame, edge: str, gap: float = 30.0) -> DataFrame:
-    """Least member of each cluster of a coordinate: neighbours among the distinct values at most `gap` apart."""
-    values = regions.select(*PAGE, F.col(edge).alias("v")).distinct()
-    runs = islands(values, PAGE, [F.col("v")], lambda p, q: F.col(q + "v") - F.col(p + "v") <= gap, fields=["v"])
-    return runs.groupBy(*PAGE, "group_no").agg(F.min("v").alias("edge")).drop("group_no")
+def _page_columns(items: Column, min_width: float, gap: float) -> Column:
+    """(left, right) of a page's columns from its regions, by left: pairs of a cluster of left edges with the next cluster of right ones.
+
+    A cluster stands for its least member: an edge that is more than `gap` from the one before. A column is valid with two regions
+    and 50 characters; a page without a valid one has its full width.
+    """
+    sides = lambda c: F.array_sort(F.array_distinct(F.transform(items, lambda r: r[c])))
+    opening = lambda edges: F.filter(edges, lambda v, k: (k == 0) | (v - F.get(edges, k - 1) > gap))
+    rights = opening(sides("x2"))
+    pairs = F.transform(opening(sides("x1")), lambda v: F.struct(v.alias("left"), F.array_min(F.filter(rights, lambda r: r > v)).alias("right")))
+    inside = lambda c: F.filter(items, lambda r: ((r["x1"] + r["x2"]) / 2).between(c["left"], c["right"]))
+    valid = F.filter(pairs, lambda c: (c["right"] - c["left"] >= min_width) & (F.size(inside(c)) >= 2) & (F.aggregate(inside(c), F.lit(0), lambda n, r: n + r["len"]) >= 50))
+    whole = F.array(F.struct(F.array_min(sides("x1")).alias("left"), F.array_max(sides("x2")).alias("right")))
+    return F.when(F.size(valid) > 0, valid).otherwise(whole)
+
+
+def _items(*more: str) -> Column:
+    return F.collect_list(F.struct("x1", "x2", F.length("text").alias("len"), *more))
 
 
 def columns(regions: DataFrame, min_width: float = 100.0, gap: float = 30.0) -> DataFrame:
-    """(page, column_index, left, right) of the columns; a page without a valid one has its full width."""
-    left = clusters(regions, "x1", gap).withColumnRenamed("edge", "left")
-    right = clusters(regions, "x2", gap).withColumnRenamed("edge", "right")
-    pairs = left.join(right, PAGE).where("right > left").groupBy(*PAGE, "left").agg(F.min("right").alias("right")).where(F.col("right") - F.col("left") >= min_width)
-    inside = regions.select(*PAGE, G.center_x().alias("cx"), F.length("text").alias("len"))
-    valid = pairs.join(inside, PAGE).where("cx between left and right").groupBy(*PAGE, "left", "right").agg(F.count("*").alias("n"), F.sum("len").alias("chars")).where("n >= 2 and chars >= 50").select(*PAGE, "left", "right")
-    single = regions.groupBy(*PAGE).agg(F.min("x1").alias("left"), F.max("x2").alias("right")).join(valid.select(*PAGE).distinct(), PAGE, "left_anti")
-    w = Window.partitionBy(*PAGE).orderBy("left")
-    return valid.unionByName(single).withColumn("column_index", (F.row_number().over(w) - 1).cast("int"))
+    """(page, column_index, left, right) of the columns: one aggregate over the page."""
+    pages = regions.groupBy(*PAGE).agg(_items().alias("_items"))
+    found = pages.select(*PAGE, F.posexplode(_page_columns(F.col("_items"), min_width, gap)).alias("column_index", "c"))
+    return found.select(*PAGE, "column_index", "c.left", "c.right")
 
 
 def column_gaps(cols: DataFrame) -> DataFrame:
@@ -46,12 +54,12 @@ def column_gaps(cols: DataFrame) -> DataFrame:
     return cols.withColumn("gap", F.lead("left").over(w) - F.col("right")).where("gap is not null").select(*PAGE, "column_index", "gap")
 
 
-def assign_columns(regions: DataFrame, cols: DataFrame) -> DataFrame:
-    """column_index: the first column that holds the region's center, 0 if none does."""
-    met = regions.join(cols.select(*PAGE, "column_index", "left", "right"), PAGE)
-    at = F.min(F.when(G.center_x().between(F.col("left"), F.col("right")), F.col("column_index")))
-    found = met.groupBy(*PAGE, "region_id").agg(F.coalesce(at, F.lit(0)).alias("column_index"))
-    return regions.join(found, [*PAGE, "region_id"])
+def assign_columns(regions: DataFrame, min_width: float = 100.0, gap: float = 30.0) -> DataFrame:
+    """column_index of each region: the first column that holds its center, 0 if none does. One window over the page, without a join."""
+    page = Window.partitionBy(*PAGE)
+    found = regions.withColumn("_columns", _page_columns(_items().over(page), min_width, gap))
+    holds = F.transform(F.col("_columns"), lambda c: G.center_x().between(c["left"], c["right"]))
+    return found.withColumn("column_index", F.greatest(F.array_position(holds, True) - 1, F.lit(0)).cast("int")).drop("_columns")
 
 
 def column_reading_order(regions: DataFrame, tolerance: float = 50.0) -> DataFrame:
@@ -107,14 +115,19 @@ def analyze(regions: DataFrame) -> DataFrame:
 
 
 def statistics(regions: DataFrame) -> DataFrame:
-    """Of each page: regions, columns, order coverage, links and the histogram of types."""
+    """Of each page: regions, columns, order coverage, links and the histogram of types, from one aggregate over the page."""
     typed = refine_types(reading_order(regions))
-    links = hierarchy(typed)
-    n_cols = columns(typed).groupBy(*PAGE).agg(F.count("*").alias("columns_detected"))
-    kids = children(typed, links).groupBy(*PAGE).agg(F.count("*").alias("with_children"))
-    parents = links.groupBy(*PAGE).agg(F.count("*").alias("with_parents"))
-    types = typed.groupBy(*PAGE, "region_type").agg(F.count("*").alias("n")).groupBy(*PAGE).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "region_type", "n"))), ",").alias("type_distribution"))
-    base = typed.groupBy(*PAGE).agg(F.count("*").alias("total_regions"), F.count("reading_order").alias("ordered"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    out = base.join(types, PAGE).join(n_cols, PAGE, "left").join(kids, PAGE, "left").join(parents, PAGE, "left")
-    return out.select(*PAGE, "total_regions", "type_distribution", zero("columns_detected"), zero("with_children"), zero("with_parents"), (F.col("ordered") / F.col("total_regions")).alias("order_coverage"))
+    g = typed.groupBy(*PAGE).agg(_items("y1", "region_type").alias("_items"), F.count("*").alias("total_regions"), F.count("reading_order").alias("ordered"))
+    g = g.withColumns({"_heads": F.filter("_items", lambda r: r["region_type"].isin("header", "title")), "_rest": F.transform(F.filter("_items", lambda r: ~r["region_type"].isin("header", "title")), lambda r: r["y1"])})
+    g = g.withColumn("_lines", F.array_sort(F.array_distinct(F.transform("_heads", lambda r: r["y1"]))))
+    lines, rest = F.col("_lines"), F.col("_rest")
+    # A region belongs to the line of headers above it, unless it lies on the next one.
+    owned = F.filter(rest, lambda y: (y > F.array_min(lines)) & ~F.array_contains(lines, y))
+    owner = F.transform("_owned", lambda y: F.array_max(F.filter(lines, lambda h: h < y)))
+    kinds = F.array_sort(F.array_distinct(F.transform("_items", lambda r: r["region_type"])))
+    counted = F.transform(kinds, lambda k: F.concat_ws(":", k, F.size(F.filter("_items", lambda r: r["region_type"] == k)).cast("string")))
+    out = g.withColumn("_owned", owned).withColumn("_owners", F.array_distinct(owner))
+    return out.select(
+        *PAGE, "total_regions", F.array_join(F.array_sort(counted), ",").alias("type_distribution"), F.size(_page_columns(F.col("_items"), 100.0, 30.0)).cast("long").alias("columns_detected"),
+        F.size(F.filter("_heads", lambda h: F.array_contains("_owners", h["y1"]))).cast("long").alias("with_children"), F.size("_owned").cast("long").alias("with_parents"), (F.col("ordered") / F.col("total_regions")).alias("order_coverage"),
+    )

@@ -59,13 +59,14 @@ def _content_aggregates() -> list[Column]:
 
 
 def _with_content(g: DataFrame, languages: DataFrame | None, tables: DataFrame | None) -> DataFrame:
-    t = F.col("_text")
-    out = g.withColumns({"total_characters": F.length(t), "total_words": X.word_count(t), "sentences": X.sentences(t), "repeated_sequences": X.repeats(t), "short_words": X.single_char_words(t), "long_words": X.long_words(t)})
+    t, listed = F.col("_text"), F.col("_words")
+    out = g.withColumn("_words", X.words(t))
+    out = out.withColumns({"total_characters": F.length(t), "total_words": F.size(listed), "sentences": X.sentences(t), "repeated_sequences": X.repeats(t), "short_words": X.single_of(listed), "long_words": X.long_of(listed), "_ink": X.chars_of(listed)})
     chars, words = F.col("total_characters"), F.col("total_words")
     out = out.withColumns({
-        "average_word_length": X.ratio(X.word_chars(t), words), "special_ratio": X.ratio(X.special(t), chars), "digit_ratio": X.ratio(X.digits(t), chars), "uppercase_ratio": X.ratio(X.upper(t), chars),
+        "average_word_length": X.ratio(F.col("_ink"), words), "special_ratio": X.ratio(X.special(t), chars), "digit_ratio": X.ratio(X.digits(t), chars), "uppercase_ratio": X.ratio(X.upper(t), chars),
         "words_per_sentence": X.ratio(words, F.col("sentences")), "artifact_ratio": X.ratio(F.col("repeated_sequences") + F.col("short_words"), words),
-    }).drop("_text")
+    }).drop("_text", "_words", "_ink")
     shared = lambda df: [c for c in PAGE if c in df.columns]
     out = out.join(languages, shared(languages), "left") if languages is not None else out.withColumn("language", F.lit(None).cast("string"))
     out = out.join(tables, shared(tables), "left") if tables is not None else out.withColumn("n_tables", F.lit(0).cast("long"))
@@ -154,13 +155,14 @@ def issue_details(assessed: DataFrame) -> DataFrame:
 
 def detailed_report(assessed: DataFrame) -> DataFrame:
     """A nested report of each page as JSON."""
+    two = lambda c: F.round(F.col(c) + F.lit(1e-9), 2)
     word = lambda c, yes, no: F.when(c, yes).otherwise(no)
     report = F.struct(
-        F.struct(F.round("overall_score", 2).alias("score"), F.col("overall_level").alias("level"), F.round("mean", 2).alias("confidence"), F.round("text_coverage_ratio", 2).alias("coverage"), "total_words", F.size("issues").alias("issues")).alias("summary"),
+        F.struct(two("overall_score").alias("score"), F.col("overall_level").alias("level"), two("mean").alias("confidence"), two("text_coverage_ratio").alias("coverage"), "total_words", F.size("issues").alias("issues")).alias("summary"),
         F.struct("high_count", "medium_count", "low_count", word(F.col("is_consistent"), "consistent", "variable").alias("consistency")).alias("confidence"),
         F.struct(word(F.col("has_structure"), "good", "poor").alias("structure"), "language", "figures", "headers", F.col("n_tables").alias("tables")).alias("content"),
         F.struct(word(F.col("good_layout"), "good", "poor").alias("quality"), "columns_detected", word(F.col("order_detected"), "detected", "not_detected").alias("reading_order")).alias("layout"),
-        "issues", "recommendations", F.struct("acceptable_for_rag", "needs_reprocessing").alias("verdict"),
+        "issues", F.array_sort("recommendations").alias("recommendations"), F.struct("acceptable_for_rag", "needs_reprocessing").alias("verdict"),
     )
     return assessed.select(*PAGE, F.to_json(report).alias("report"))
 

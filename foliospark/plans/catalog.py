@@ -35,8 +35,8 @@ def query(f: Query) -> Query:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Regions where each stands for itself: no exchange."""
-    return M.regions(M.table(spark, d, "documents"))
+    """Regions where each stands for itself: no exchange, but for tables of few pieces."""
+    return M.regions(M.spread(M.table(spark, d, "documents").select("doc_id", "text")))
 
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +224,7 @@ def column_gaps(spark, d):
 @query
 def column_assignment(spark, d):
     r = regions(spark, d)
-    return L.assign_columns(r, L.columns(r)).select("region_id", "column_index")
+    return L.assign_columns(r).select("region_id", "column_index")
 
 
 @query
@@ -474,20 +474,31 @@ def engine_polygons(spark, d):
 
 @query
 def clean_text(spark, d):
-    r = lines(spark, d).withColumn("t", F.concat(F.lit("  "), F.regexp_replace("text", " ", "  "), F.lit(" #§ ")))
+    r = lines(spark, d).withColumn("t", F.concat(F.lit(" \u00a0"), F.replace("text", F.lit(" "), F.lit(" \u3000")), F.lit("\u2028#§ ")))
     return r.select("region_id", X.clean_region(F.col("t")).alias("clean_region"), X.clean_chunk(F.col("t")).alias("clean_chunk"))
 
 
+def measured(texts: DataFrame) -> DataFrame:
+    t, listed = F.col("text"), F.col("listed")
+    return texts.withColumn("listed", X.words(t)).select("doc_id", F.size(listed).alias("words"), X.sentences(t).alias("sentences"), X.special(t).alias("special"), X.digits(t).alias("digits"), X.upper(t).alias("upper"), X.single_of(listed).alias("single"), X.long_of(listed).alias("long"), X.repeats(F.regexp_replace(t, "\n", " ")).alias("repeats"))
+
+
 @query
 def text_stats(spark, d):
-    t = F.col("text")
-    return M.table(spark, d, "documents").select("doc_id", X.word_count(t).alias("words"), X.sentences(t).alias("sentences"), X.special(t).alias("special"), X.digits(t).alias("digits"), X.upper(t).alias("upper"), X.single_char_words(t).alias("single"), X.long_words(t).alias("long"), X.repeats(F.regexp_replace(t, "\n", " ")).alias("repeats"))
+    return measured(M.spread(M.table(spark, d, "documents").select("doc_id", "text")))
+
+
+@query
+def text_stats_unicode(spark, d):
+    """The same over texts whose spaces are of all kinds."""
+    t = F.replace(F.replace(F.replace("text", F.lit(", "), F.lit(",\u00a0")), F.lit("\n"), F.lit("\u3000")), F.lit(". "), F.lit(".\u2003"))
+    return measured(M.spread(M.table(spark, d, "documents").select("doc_id", t.alias("text"))))
 
 
 @query
 def readability(spark, d):
     m = X.readability(F.col("text"))
-    return M.table(spark, d, "documents").select("doc_id", *[r6(v).alias(k) for k, v in m.items()])
+    return M.spread(M.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[r6(v).alias(k) for k, v in m.items()])
 
 
 @query
@@ -510,12 +521,35 @@ def safe_dump(spark, d):
 
 @query
 def storage_embeddings(spark, d):
-    return M.table(spark, d, "embeddings").select("vec_id", S.stored_embedding(F.col("embedding")).alias("small"), S.stored_embedding(F.concat("embedding", "embedding")).alias("large"))
+    e = M.table(spark, d, "embeddings").select("vec_id", S.stored_embedding(F.col("embedding")).alias("small"), S.stored_embedding(F.concat("embedding", "embedding")).alias("large"))
+    weighed = F.aggregate(F.transform("small.values", lambda v, k: v.cast("double") * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    return e.select("vec_id", F.size("small.values").alias("dims"), r6(weighed).alias("weighed"), F.col("small.note").alias("small_note"), F.col("large.note").alias("large_note"), F.col("large.values").isNull().alias("large_gone"))
 
 
 @query
 def json_encoding(spark, d):
-    return M.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.lower(F.hex("event_type")).alias("raw"))
+    e = M.table(spark, d, "events")
+    return e.select("event_id", S.encode_json(F.col("ts"), F.encode("event_type", "UTF-8"), F.col("event_id") % 1000 / F.lit(4.0)).alias("json"))
+
+
+def page_files(spark, d):
+    return M.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("path"), F.length("html").cast("long").alias("length"), F.lit(1700000000).alias("mtime"))
+
+
+@query
+def file_metadata(spark, d):
+    return S.document_metadata(page_files(spark, d)).drop("path", "length", "mtime")
+
+
+@query
+def cached_files(spark, d):
+    """Which pages have a result that isn't older than a day; some have several, of which the latest counts."""
+    files = S.document_metadata(page_files(spark, d)).select("page_id", F.concat_ws("-", "cache_key", "page_id").alias("cache_key"))
+    age = lambda hours: F.current_timestamp() - F.make_dt_interval(F.lit(0), hours)
+    entry = files.where("page_id % 3 < 2").select("cache_key", "page_id")
+    cache = entry.select("cache_key", age((F.col("page_id") % 4 * 10 + 1).cast("int")).alias("cached_at"), F.lit("old").alias("result")).unionByName(entry.where("page_id % 2 = 0").select("cache_key", age(F.lit(0)).alias("cached_at"), F.lit("new").alias("result")))
+    hit, new = S.cached_or_new(files, cache)
+    return hit.select("page_id", "result").unionByName(new.select("page_id", F.lit(None).cast("string").alias("result")))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 ORACLES: dict[str, str] = {}
 
 #: Steps by name: each may use those that its entry lists.
@@ -34,8 +36,17 @@ def two(x: str) -> str:
     return f"printf('%.2f', CAST({x} AS DOUBLE) + 1e-9)"
 
 
+#: White space as Python's str.split() has it.
+WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[{WHITE}]"
+
+
 def words(t: str) -> str:
-    return f"list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({t}, '{SPACE}+'), lambda w: w <> '')"
+
+
+def strip(t: str) -> str:
+    return f"regexp_replace({t}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def n_words(t: str) -> str:
@@ -69,7 +80,7 @@ def longs(t: str) -> str:
 
 def clean(t: str) -> str:
     keep = r"""[^\p{L}\p{M}\p{N}_\s.,;:!?\-()\[\]"''/\\]"""
-    return f"regexp_replace(regexp_replace(regexp_replace({t}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '{keep}', '', 'g')"
+    return f"regexp_replace(regexp_replace({strip(t)}, '{SPACE}+', ' ', 'g'), '{keep}', '', 'g')"
 
 
 def level(x: str) -> str:
@@ -82,7 +93,7 @@ BASE = "region_id, doc_id, page_number, line_no, n, conf_milli, confidence, x1,
 step("lines", (), "SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM documents")
 step("named", ("lines",), """
     SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE line_no % 12
-        WHEN 0 THEN regexp_replace(substr(raw, 1, 40), '[. ]+$', '') WHEN 8 THEN regexp_replace(substr(raw, 1, 30), '[. ]+$', '')
+        WHEN 0 THEN raw || ' \u2014' WHEN 8 THEN raw || ' \u2014'
         WHEN 3 THEN concat('- ', raw) WHEN 4 THEN concat('- ', raw) WHEN 5 THEN concat('2. ', raw) WHEN 7 THEN concat('Figure 1: ', raw) ELSE raw END AS text
     FROM lines WHERE trim(raw) <> ''""")
 step("mixed", ("named",), """
@@ -153,6 +164,15 @@ oracle("columns", ("cols",), f'SELECT {PG}, column_index, "left", "right" FROM c
 oracle("column_gaps", ("cols",), f'SELECT * FROM (SELECT {PG}, column_index, lead("left") OVER (PARTITION BY {PG} ORDER BY "left") - "right" AS gap FROM cols) WHERE gap IS NOT NULL')
 oracle("column_assignment", ("cols",), 'SELECT r.region_id, coalesce(min(c.column_index) FILTER ((r.x1 + r.x2) / 2 BETWEEN c."left" AND c."right"), 0) AS column_index FROM regions r JOIN cols c ON r.doc_id = c.doc_id AND r.page_number = c.page_number GROUP BY r.region_id')
 
+step("co_i", ("regions",), f"SELECT *, (x1 + x2) / 2 AS cx, row_number() OVER (PARTITION BY {PG} ORDER BY line_no) AS i, count(*) OVER (PARTITION BY {PG}) AS cnt FROM regions")
+step("co_r", ("co_i",), f"""
+    SELECT {PG}, i, cnt, [cx] AS keys FROM co_i WHERE i = 1 UNION ALL
+    SELECT b.doc_id, b.page_number, b.i, b.cnt, CASE WHEN len(list_filter(a.keys, lambda k: abs(b.cx - k) <= 50)) > 0 THEN a.keys ELSE list_append(a.keys, b.cx) END FROM co_r a JOIN co_i b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND b.i = a.i + 1""")
+step("co_k", ("co_r", "co_i"), "SELECT c.*, list_filter(r.keys, lambda k: abs(c.cx - k) <= 50)[1] AS column_key FROM co_i c JOIN co_r r ON c.doc_id = r.doc_id AND c.page_number = r.page_number AND r.i = r.cnt")
+step("co_m", ("co_k",), f"SELECT *, count(*) OVER (PARTITION BY {PG}, column_key) AS members FROM co_k")
+step("co_n", ("co_m",), f"SELECT m.*, n.many FROM co_m m JOIN (SELECT {PG}, count(DISTINCT column_key) FILTER (members >= 2) > 1 AS many FROM co_m GROUP BY {PG}) n USING ({PG})")
+oracle("column_reading_order", ("co_n",), f"SELECT {PG}, region_id, column_key, CAST(row_number() OVER (PARTITION BY {PG} ORDER BY CASE WHEN many THEN column_key END, y1, CASE WHEN NOT many THEN x1 END, line_no) - 1 AS INTEGER) AS column_order FROM co_n WHERE NOT many OR members >= 2")
+
 step("heads", ("typed",), f"SELECT {PG}, y1 AS head_y, arg_max(region_id, line_no) AS parent_region_id FROM typed WHERE region_type IN ('header', 'title') GROUP BY ALL")
 step("spans", ("heads",), f"SELECT *, lead(head_y) OVER (PARTITION BY {PG} ORDER BY head_y) AS next_y FROM heads")
 step("links", ("spans", "typed"), "SELECT t.doc_id, t.page_number, t.region_id, s.parent_region_id, s.head_y FROM typed t JOIN spans s ON t.doc_id = s.doc_id AND t.page_number = s.page_number AND t.y1 > s.head_y AND (s.next_y IS NULL OR t.y1 < s.next_y) WHERE t.region_type NOT IN ('header', 'title')")
@@ -288,7 +308,7 @@ step("dims", ("cells",), 'SELECT table_id, max("row") + 1 AS "rows", max(col) +
 step("grid", ("dims", "cell1"), 'SELECT d.table_id, r.i AS "row", string_agg(coalesce(c.text, \'\'), \' | \' ORDER BY k.j) AS line FROM dims d, LATERAL (SELECT unnest(range(d."rows")) AS i) r, (SELECT unnest(range(4)) AS j) k LEFT JOIN cell1 c ON c.table_id = d.table_id AND c."row" = r.i AND c.col = k.j GROUP BY ALL')
 step("gtext", ("grid", "dims"), 'SELECT d.*, string_agg(g.line, chr(10) ORDER BY g."row") AS table_text FROM dims d JOIN grid g USING (table_id) GROUP BY ALL')
 oracle("table_text", ("gtext",), 'SELECT table_id, "rows", "columns", table_text, x1, y1, x2, y2 FROM gtext')
-oracle("table_chunks", ("gtext",), f"SELECT sha256(concat_ws('|', table_id, 1, 'layout_aware', 0)) AS chunk_id, table_id AS doc_id, 1 AS page_number, table_text AS content, CAST(0.9 AS DOUBLE) AS average_confidence, 'table' AS region_types, true AS has_tables, {n_words('table_text')} AS word_count FROM gtext WHERE length(regexp_replace(table_text, '^\\s+|\\s+$', '', 'g')) >= 100")
+oracle("table_chunks", ("gtext",), f"SELECT sha256(concat_ws('|', table_id, 1, 'layout_aware', 0)) AS chunk_id, table_id AS doc_id, 1 AS page_number, table_text AS content, CAST(0.9 AS DOUBLE) AS average_confidence, 'table' AS region_types, true AS has_tables, {n_words('table_text')} AS word_count FROM gtext WHERE length({strip('table_text')}) >= 100")
 oracle("table_cell_lookup", ("cells",), 'SELECT table_id, text FROM cells WHERE "row" = 0 AND col = 3')
 oracle("table_from_blocks", ("cells",), 'SELECT table_id, "row", col, text, round(0.985, 6)::DOUBLE AS confidence, x1, y1, x2, y2 FROM cells')
 oracle("block_words", ("cells",), "SELECT table_id, concat('w-', \"row\", '-', col) AS region_id, text, CAST(0.985 AS DOUBLE) AS confidence, x1, y1, CAST(row_number() OVER (PARTITION BY table_id ORDER BY y1, x1, concat('w-', \"row\", '-', col)) - 1 AS INTEGER) AS reading_order FROM cells")
@@ -313,7 +333,7 @@ step("cm", ("cm0",), "SELECT *, l[CAST(floor(len(l) * CAST(0.25 AS DOUBLE)) AS I
 oracle("confidence_metrics", ("cm",), f"SELECT {PG}, {r6('mean')} AS mean, {r6('median')} AS median, {r6('sd')} AS std_dev, min_value, max_value, low_count, medium_count, high_count, percentile_25, percentile_75, percentile_90, {level('mean')} AS quality_level, sd < 0.2 AS is_consistent, {r6('high_ratio')} AS high_ratio FROM cm")
 step("ptext", ("typed",), f"SELECT {PG}, string_split(string_agg(text, ' ' ORDER BY y1, x1, line_no), '') AS cs, string_agg(text, ' ' ORDER BY y1, x1, line_no) AS t, count(*) FILTER (region_type = 'paragraph') AS paragraphs, count(*) FILTER (region_type IN ('header', 'title')) AS headers, count(*) FILTER (region_type = 'list') AS lists FROM typed GROUP BY ALL")
 step("ct0", ("ptext",), f"""
-    SELECT {PG}, paragraphs, headers, CAST(0 AS BIGINT) AS figures, lists, CAST(length(t) AS INTEGER) AS total_characters, {n_words('t')} AS total_words, {ratio("length(regexp_replace(t, '\\s+', '', 'g'))", n_words('t'))} AS average_word_length, {found('t', '[.!?]+')} AS sentences,
+    SELECT {PG}, paragraphs, headers, CAST(0 AS BIGINT) AS figures, lists, CAST(length(t) AS INTEGER) AS total_characters, {n_words('t')} AS total_words, {ratio(f"length(regexp_replace(t, '{SPACE}+', '', 'g'))", n_words('t'))} AS average_word_length, {found('t', '[.!?]+')} AS sentences,
         {ratio(count('t', '[^\\p{L}\\p{N}\\s]'), 'length(t)')} AS special_ratio, {ratio(count('t', '\\p{Nd}'), 'length(t)')} AS digit_ratio, {ratio(count('t', '\\p{Lu}'), 'length(t)')} AS uppercase_ratio, {repeats('cs')} AS repeated_sequences, {singles('t')} AS short_words, {longs('t')} AS long_words FROM ptext""")
 step("ct1", ("ct0",), f"SELECT c.*, d.lang AS language, CAST(0 AS BIGINT) AS n_tables, CASE WHEN d.lang IS NOT NULL THEN CAST(0.8 AS DOUBLE) ELSE 0.0 END AS language_confidence, {ratio('total_words', 'sentences')} AS words_per_sentence, {ratio('repeated_sequences + short_words', 'total_words')} AS artifact_ratio FROM ct0 c JOIN documents d USING (doc_id)")
 step("ct", ("ct1",), "SELECT *, sentences > 0 AND words_per_sentence > 3 AND average_word_length > 2 AS has_structure FROM ct1")
@@ -344,6 +364,14 @@ oracle("common_issues", ("q",), """
     , p AS (SELECT doc_id, count(*) AS pages FROM q GROUP BY 1), e AS (SELECT doc_id, unnest(issues) AS issue FROM q), k AS (SELECT doc_id, issue, count(*) AS occurrences FROM e GROUP BY ALL)
     SELECT doc_id, issue, occurrences, pages FROM k JOIN p USING (doc_id) WHERE occurrences > pages * 0.25""")
 oracle("recommendations", ("q",), "SELECT DISTINCT doc_id, unnest(advice) AS recommendation FROM q")
+_two = lambda x: f"round(CAST({x} AS DOUBLE) + 1e-9, 2)"
+_flag = lambda x, yes, no: f"CASE WHEN {x} THEN '{yes}' ELSE '{no}' END"
+oracle("quality_reports", ("q",), f"""SELECT {PG}, CAST(to_json({{
+    'summary': {{'score': {_two('score')}, 'level': {level('score')}, 'confidence': {_two('mean')}, 'coverage': {_two('text_coverage_ratio')}, 'total_words': total_words, 'issues': len(issues)}},
+    'confidence': {{'high_count': high_count, 'medium_count': medium_count, 'low_count': low_count, 'consistency': {_flag('sd < 0.2', 'consistent', 'variable')}}},
+    'content': {{'structure': {_flag('has_structure', 'good', 'poor')}, 'language': language, 'figures': figures, 'headers': headers, 'tables': n_tables}},
+    'layout': {{'quality': {_flag('good_layout', 'good', 'poor')}, 'columns_detected': columns_detected, 'reading_order': 'not_detected'}},
+    'issues': issues, 'recommendations': list_sort(advice), 'verdict': {{'acceptable_for_rag': ok, 'needs_reprocessing': redo}}}}) AS VARCHAR) AS report FROM q""")
 step("dp", ("q",), "SELECT doc_id, count(*) AS pages_processed, count(*) FILTER (NOT ok) AS pages_failed, avg(score) AS ps, sum(total_characters) AS chars, avg(mean) AS pc FROM q GROUP BY 1")
 step("dc", ("lchunks",), f"SELECT doc_id, count(*) AS total_chunks, count(*) FILTER (ac >= 0.8) AS high_quality_chunks, count(*) FILTER (is_filtered) AS filtered_chunks, count(*) FILTER ({READY}) AS rag_ready_chunks, avg(ac) AS cc, sum(length(content)) AS cchars FROM lchunks GROUP BY 1")
 step("dr0", ("dp", "dc"), "SELECT p.*, coalesce(total_chunks, 0) AS total_chunks, coalesce(high_quality_chunks, 0) AS high_quality_chunks, coalesce(filtered_chunks, 0) AS filtered_chunks, coalesce(rag_ready_chunks, 0) AS rag_ready_chunks, coalesce(cc, pc) AS a, greatest(chars, coalesce(cchars, 0)) AS total_text, pages_processed / (pages_processed + pages_failed) AS sr, CASE WHEN coalesce(total_chunks, 0) > 0 THEN high_quality_chunks / total_chunks ELSE 0.0 END AS qr FROM dp p LEFT JOIN dc USING (doc_id)")
@@ -369,10 +397,11 @@ oracle("engine_word_boxes", ("wb",), f"SELECT {PG}, line_no, {r6('conf / 100')}
 oracle("engine_polygons", ("regions",), f"SELECT {PG}, line_no, least(x1 + 3, x2, x2 - 1, x1) AS x1, least(y1, y1 + 2, y2, y2 - 2) AS y1, greatest(x1 + 3, x2, x2 - 1, x1) AS x2, greatest(y1, y1 + 2, y2, y2 - 2) AS y2 FROM regions")
 
 # Texts and files
-step("spaced", ("regions",), "SELECT region_id, '  ' || replace(text, ' ', '  ') || ' #§ ' AS t FROM regions")
-oracle("clean_text", ("spaced",), f"SELECT region_id, regexp_replace(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS clean_region, {clean('t')} AS clean_chunk FROM spaced")
+step("spaced", ("regions",), "SELECT region_id, ' ' || chr(160) || replace(text, ' ', ' ' || chr(12288)) || chr(8232) || '#§ ' AS t FROM regions")
+oracle("clean_text", ("spaced",), f"SELECT region_id, regexp_replace({strip('t')}, '{SPACE}+', ' ', 'g') AS clean_region, {clean('t')} AS clean_chunk FROM spaced")
 SPACED = "replace(text, chr(10), ' ')"
-oracle("text_stats", (), f"WITH d AS (SELECT doc_id, text, string_split({SPACED}, '') AS cs FROM documents) SELECT doc_id, {n_words('text')} AS words, {found('text', '[.!?]+')} AS sentences, CAST({count('text', '[^\\p{L}\\p{N}\\s]')} AS INTEGER) AS special, CAST({count('text', '\\p{Nd}')} AS INTEGER) AS digits, CAST({count('text', '\\p{Lu}')} AS INTEGER) AS upper, {singles('text')} AS single, {longs('text')} AS long, {repeats('cs')} AS repeats FROM d")
+for name, t in (("text_stats", "text"), ("text_stats_unicode", "replace(replace(replace(text, ', ', ',' || chr(160)), chr(10), chr(12288)), '. ', '.' || chr(8195))")):
+    oracle(name, (), f"WITH a AS (SELECT doc_id, {t} AS text FROM documents), d AS (SELECT doc_id, text, string_split({SPACED}, '') AS cs FROM a) SELECT doc_id, {n_words('text')} AS words, {found('text', '[.!?]+')} AS sentences, CAST({count('text', '[^\\p{L}\\p{N}' + WHITE + ']')} AS INTEGER) AS special, CAST({count('text', '\\p{Nd}')} AS INTEGER) AS digits, CAST({count('text', '\\p{Lu}')} AS INTEGER) AS upper, {singles('text')} AS single, {longs('text')} AS long, {repeats('cs')} AS repeats FROM d")
 oracle("readability", (), f"""
     WITH a AS (SELECT doc_id, text, CAST(nullif({n_words('text')}, 0) AS DOUBLE) AS w, CAST(greatest({found('text', '[.!?]+')}, 1) AS DOUBLE) AS s, CAST({count('text', '[\\p{L}\\p{N}]')} AS DOUBLE) AS c, CAST({found('lower(text)', '[aeiouy]+')} AS DOUBLE) AS y, CAST(len(list_filter({words('text')}, lambda x: len(regexp_extract_all(lower(x), '[aeiouy]+')) >= 3)) AS DOUBLE) AS h FROM documents)
     SELECT doc_id, {r6('CAST(4.71 AS DOUBLE) * c / w + CAST(0.5 AS DOUBLE) * w / s - CAST(21.43 AS DOUBLE)')} AS ari, {r6('CAST(0.0588 AS DOUBLE) * (100 * c / w) - CAST(0.296 AS DOUBLE) * (100 * s / w) - CAST(15.8 AS DOUBLE)')} AS coleman_liau,
@@ -383,8 +412,31 @@ oracle("doc_types", ("paths",), """
     SELECT page_id, t AS document_type, t IN ('image', 'multi_page_tiff') AS is_image, t IN ('pdf', 'scanned_pdf') AS is_pdf, t IN ('image', 'scanned_pdf', 'multi_page_tiff') AS requires_ocr FROM k""")
 oracle("cache_keys", (), "SELECT page_id, md5(CASE WHEN page_id % 4 <> 0 THEN url || '_' || length(html) || '_1700000000' ELSE url END) AS cache_key FROM pages")
 oracle("safe_dump", (), "SELECT page_id, '<' || octet_length(encode(html)) || ' bytes>' AS content FROM pages")
-oracle("storage_embeddings", (), "SELECT vec_id, CASE WHEN len(embedding) > 100 THEN '<' || len(embedding) || ' dimensions>' ELSE '[' || len(embedding) || ' values]' END AS small, '<' || 2 * len(embedding) || ' dimensions>' AS large FROM embeddings")
-oracle("json_encoding", (), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, lower(hex(event_type)) AS raw FROM events")
+oracle("storage_embeddings", (), f"""
+    SELECT vec_id, CAST(CASE WHEN len(embedding) <= 100 THEN len(embedding) END AS INTEGER) AS dims, {r6('list_sum(list_transform(embedding, lambda v, k: CAST(v AS DOUBLE) * k))')} AS weighed,
+        CASE WHEN len(embedding) > 100 THEN '<' || len(embedding) || ' dimensions>' END AS small_note, CASE WHEN 2 * len(embedding) > 100 THEN '<' || 2 * len(embedding) || ' dimensions>' END AS large_note, 2 * len(embedding) > 100 AS large_gone FROM embeddings""")
+oracle("json_encoding", (), """SELECT event_id, '{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","content":"' || lower(hex(event_type)) || '","seconds":' || CAST(event_id % 1000 / CAST(4 AS DOUBLE) AS VARCHAR) || '}' AS json FROM events""")
+step("pfiles", (), "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path, CAST(length(html) AS VARCHAR) AS size FROM pages")
+step("pmeta", ("pfiles",), "SELECT page_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS title, path AS source, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, md5(path || '_' || size || '_1700000000') AS cache_key FROM pfiles")
+oracle("file_metadata", ("pmeta",), """
+    , k AS (SELECT *, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext IN ('.jpg', '.jpeg', '.png', '.bmp') THEN 'image' WHEN ext IN ('.tiff', '.tif') THEN 'multi_page_tiff' ELSE 'unknown' END AS t FROM pmeta)
+    SELECT page_id, title, source, t AS document_type, t IN ('image', 'multi_page_tiff') AS is_image, t IN ('pdf', 'scanned_pdf') AS is_pdf, t IN ('image', 'scanned_pdf', 'multi_page_tiff') AS requires_ocr, cache_key FROM k""")
+oracle("cached_files", (), "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN NULL WHEN page_id % 2 = 0 THEN 'new' WHEN page_id % 4 * 10 + 1 < 24 THEN 'old' END AS result FROM pages")
+_TAG = "h[1-6]|p|blockquote|pre|li|dt|dd|tr|caption|figcaption"
+step("marked", (), rf"""SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(-->|$)', ' ', 'g'), '(?is)<script\b.*?(</script\s*>|$)', ' ', 'g'), '(?is)<style\b.*?(</style\s*>|$)', ' ', 'g'), '(?i)(</?({_TAG}|table)[\s/>])', chr(1) || '\1', 'g'), chr(1)) AS pieces FROM pages""")
+step("begun", ("marked",), rf"SELECT page_id, list_filter(pieces, lambda x: regexp_matches(x, '(?i)^<({_TAG})[\s>]')) AS pieces FROM marked")
+step("piece", ("begun",), "SELECT page_id, unnest(range(len(pieces))) AS pos, unnest(pieces) AS raw FROM begun")
+_BARE = r"""regexp_replace(raw, '<([^>"'']|"[^"]*"|''[^'']*'')*(>|$)', ' ', 'g')"""
+for _name, _code in sorted(name2codepoint.items()):
+    if _code < 256 and _name != "amp" or _name in ("ndash", "mdash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo", "bull", "euro"):
+        _BARE = f"replace({_BARE}, '&{_name};', chr({_code}))"
+_BARE = f"replace(replace({_BARE}, '&#39;', chr(39)), '&amp;', '&')"
+step("element", ("piece",), rf"""SELECT page_id, pos, lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)', 1)) AS tag, regexp_replace({strip(_BARE)}, '{SPACE}+', ' ', 'g') AS text FROM piece""")
+oracle("html_elements", ("element",), "SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN tag IN ('p', 'blockquote', 'pre') THEN 'paragraph' WHEN tag IN ('li', 'dt', 'dd') THEN 'list' WHEN tag = 'tr' THEN 'table' WHEN tag IN ('caption', 'figcaption') THEN 'caption' ELSE 'title' END AS type, text FROM element WHERE text <> ''")
+oracle("engine_presets", (), """
+    WITH k AS (SELECT * FROM (VALUES ('general'), ('forms'), ('tables'), ('handwritten')) a(document_type), (VALUES ('speed', ['easyocr', 'tesseract']), ('balanced', ['easyocr', 'tesseract', 'aws_textract']), ('quality', ['aws_textract', 'easyocr', 'tesseract'])) b(priority, plan), (VALUES (false), (true)) c(cloud)),
+    o AS (SELECT *, CASE WHEN document_type IN ('forms', 'tables') AND priority <> 'speed' THEN ['aws_textract', 'easyocr', 'tesseract'] WHEN document_type = 'handwritten' THEN list_append(list_filter(plan, lambda e: e <> 'tesseract'), 'tesseract') ELSE plan END AS chosen FROM k)
+    SELECT document_type, priority, cloud, array_to_string(list_filter(chosen, lambda e: cloud OR e <> 'aws_textract'), ',') AS engines, priority = 'quality' AS parallel FROM o""")
 oracle("supported_formats", (), "SELECT unnest(['pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp']) AS format")
 
 # A query that starts with a comma goes on with the steps' WITH.

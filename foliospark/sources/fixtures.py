@@ -17,12 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a table comes in fewer pieces than there are: a file of one row group is one task otherwise. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def regions(documents: DataFrame) -> DataFrame:
-    """One region for each line that isn't blank, twelve to a page, in one or two columns."""
+    """One region for each whole line that isn't blank, twelve to a page, in one or two columns. Marks are added, so that the rules for types have something to find."""
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).where(F.trim("raw") != "")
     r = F.col("line_no") % LINES
-    head = lambda n: F.regexp_replace(F.substring("raw", 1, n), "[. ]+$", "")
-    text = F.when(r == 0, head(40)).when(r == 8, head(30)).when(r.isin(3, 4), F.concat(F.lit("- "), "raw")).when(r == 5, F.concat(F.lit("2. "), "raw")).when(r == 7, F.concat(F.lit("Figure 1: "), "raw")).otherwise(F.col("raw"))
+    text = F.when(r.isin(0, 8), F.concat("raw", F.lit(" \u2014"))).when(r.isin(3, 4), F.concat(F.lit("- "), "raw")).when(r == 5, F.concat(F.lit("2. "), "raw")).when(r == 7, F.concat(F.lit("Figure 1: "), "raw")).otherwise(F.col("raw"))
     named = lines.select("doc_id", "line_no", text.alias("text"), r.alias("r")).withColumn("n", F.length("text"))
     mixed = named.withColumn("h", F.col("doc_id") * 7919 + F.col("line_no") * 104729 + F.col("n") * 31).withColumn("nc", 1 + F.col("doc_id") % 2)
     milli = (300 + F.col("h") % 700).cast("int")
