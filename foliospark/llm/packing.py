@@ -12,8 +12,8 @@ Besides, documents can be of groups of near copies (`near`), of which a bin take
 
 Documents are spread by a hash over shards of about `shard` documents, packed each by
 itself, so work per document stays the same at any size. What a shard leaves in bins less than half
-full is packed again, over fewer shards of its own, until that frees less than one bin in 50: pieces that had
-no partner in their shard find it in another.
+full is packed again, over fewer shards of its own, as long as that frees one bin in 50 and the commonest
+source's pieces leave so many to be freed: pieces that had no partner in their shard find it in another.
 
 Documents without tokens (null or empty text) are in no bin. Null source and null doc_id
 are values like others: two documents of unknown source don't share a bin. Repeated rows
@@ -26,12 +26,16 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import Numbered, materialize, word_count
+from foliospark.llm.runtime import map_arrow, materialize, only
+from foliospark.llm.textops import U, blocks, mix, powers, utf8
 
 SCHEMA = "doc_id long, piece int, tokens long, bin_id long, bin_offset long, source string"
 BIN_BITS = 32
@@ -65,9 +69,42 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, nea
     return out
 
 
-def cluster_of(text: Column) -> Column:
-    """Duplicate cluster of a text: a hash of it in lower case without white space."""
-    return F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", "")))
+_byte = np.arange(256)
+BLANK = np.isin(_byte, [9, 10, 11, 12, 13, 32])
+_VALUE = mix(_byte.astype(U) + U(1)) | U(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each row its tokens: runs of bytes that aren't white space, as word_count() has them."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for i, j in blocks(offsets):
+        own, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        blank = BLANK[own]
+        before = np.ones(len(own), bool)
+        before[1:] = blank[:-1]
+        before[edges[:-1][edges[:-1] < len(own)]] = True
+        begun = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(before & ~blank, out=begun[1:])
+        out[i:j] = np.diff(begun[edges])
+    return out
+
+
+def clusters_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each row a 64-bit hash of its bytes that aren't white space, and of how many they are."""
+    out = np.zeros(len(offsets) - 1, U)
+    for i, j in blocks(offsets):
+        own, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        ink = ~BLANK[own]
+        places = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(ink, out=places[1:])
+        edges, kept = places[edges], own[ink]
+        total = np.zeros(len(kept) + 1, U)
+        np.cumsum(_VALUE[kept] * powers(len(kept), _BASE), out=total[1:])
+        back = powers(len(kept) + 1, _INVERSE)
+        out[i:j] = mix((total[edges[1:]] - total[edges[:-1]]) * back[edges[:-1]] ^ mix(np.diff(edges).astype(U)))
+    return out
 
 
 #: Copies of a row that one row of a table of counts becomes at a time.
@@ -110,9 +147,20 @@ def pack(df: DataFrame, capacity: int = 2048, shard: int = 4096, text: str = "te
     """One row for each piece: doc_id, piece, tokens, bin_id, bin_offset, source. cluster: a column of known duplicate clusters; near: (doc_id, near) of documents with near copies, a row each."""
     if capacity < 1 or shard < 1:
         raise ValueError("capacity and shard must be positive")
-    c = Numbered(df)
-    marks = c[cluster].cast("string") if cluster else cluster_of(c[text]).cast("string")
-    light = c.df.select(c[key].cast("long").alias("doc_id"), c[source].cast("string").alias("source"), word_count(c[text]).alias("tokens"), F.coalesce(marks, F.lit("")).alias("cluster")).where("tokens > 0")
+    names = {"doc_id": key, "source": source, "text": text} | ({"cluster": cluster} if cluster else {})
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets, _ = utf8(batch.column(2))
+            tokens = tokens_of(data, offsets)
+            if cluster:
+                marks = pc.fill_null(batch.column(3), "")
+            else:
+                marks = pa.array(clusters_of(*utf8(pc.utf8_lower(batch.column(2)))[:2]).view(np.int64)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), marks], ["doc_id", "source", "tokens", "cluster"]).filter(pa.array(tokens > 0))
+
+    read = only(df, **names).withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string")} | ({"cluster": F.col("cluster").cast("string")} if cluster else {}))
+    light = map_arrow(read, measured, "doc_id long, source string, tokens long, cluster string")
     light = light.groupBy("doc_id", "source", "tokens", "cluster").agg(F.count("*").alias("copies"))
     light = light.withColumn("near", F.lit(None).cast("long")) if near is None else light.join(near.select("doc_id", "near"), "doc_id", "left")
     light = materialize(light)
@@ -129,7 +177,10 @@ def pack(df: DataFrame, capacity: int = 2048, shard: int = 4096, text: str = "te
         place = F.pmod(F.xxhash64("doc_id", "cluster", "copy", F.lit(turn)), F.lit(shards)) + begun
         packed = materialize(rows.withColumn("shard", place).groupBy("shard").applyInArrow(_pack_shard(capacity), PIECES))
         bins, half, few = packed.agg(F.count_distinct("bin"), F.count_distinct(F.when(F.col("half"), F.col("bin"))), F.count_if("half")).first()
-        if shards == 1 or not half or (turn and 50 * (before - bins) < before):
+        over = packed.where("half").groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+        # Each piece of the commonest source needs a bin, and all tokens need so many: what is over that can be freed, at most.
+        least = max(over[0], -(-over[1] // capacity))
+        if shards == 1 or 50 * (half - least) < half or (turn and 50 * (before - bins) < before):
             last = packed if done is None else done.unionByName(packed)
             break
         kept = packed.where("not half")
