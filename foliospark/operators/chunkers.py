@@ -6,10 +6,13 @@ array of its regions, so all of its metadata is array arithmetic and nothing is
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
+from foliospark.functions.splitters import split_texts
 from foliospark.operators import packing as P
 from foliospark.operators.classify import hierarchy_level
 from foliospark.operators.grouping import PAGE, chunk_order, islands, near, order_key, same_confidence, same_list, same_paragraph
@@ -110,6 +113,31 @@ def mixed_chunks(regions: DataFrame, config: ChunkerConfig = ChunkerConfig()) ->
     return index_chunks(described, ["order_key", "first_y1", "first_x1", "chunk_no"])
 
 
+def table_preserving_chunks(regions: DataFrame, config: ChunkerConfig = ChunkerConfig(), tables: DataFrame | None = None) -> DataFrame:
+    """Layout chunks in which every table is a chunk of its own, whole: neither the size nor the least size applies to it."""
+    made = layout_chunks(regions, config)
+    if tables is not None:
+        whole = describe(table_items(tables, replace(config, min_chunk_size=0, preserve_tables=True)), config, "table_preserving")
+        made = made.select(*whole.columns).unionByName(whole)
+    return index_chunks(made.withColumn("strategy", F.lit("table_preserving")), ["order_key", "bucket_rank", "group_no", "chunk_no"])
+
+
+def hybrid_chunks(regions: DataFrame, config: ChunkerConfig = ChunkerConfig(), share: float = 0.5) -> DataFrame:
+    """Layout chunks, those of more than `share` of the chunk size cut where the topic changes from one sentence to the next.
+
+    A piece has the region ids, box and confidences of its chunk, and words, characters and filter reason of its own.
+    """
+    made = layout_chunks(regions, config)
+    long = F.length("content") > share * config.chunk_size
+    texts = made.where(long).select(F.xxhash64("chunk_id").alias("doc_id"), F.col("content").alias("text"))
+    pieces = split_texts(texts, "semantic").select(F.col("doc_id").alias("_key"), F.col("chunk_index").alias("_piece"), F.col("chunk").alias("_text"))
+    cut = made.where(long).withColumn("_key", F.xxhash64("chunk_id")).join(pieces, "_key")
+    cut = cut.withColumns({"content": F.col("_text"), "word_count": X.word_count(F.col("_text")), "character_count": F.length("_text")})
+    cut = cut.withColumn("filter_reason", filter_reason(F.col("content"), F.col("average_confidence"), config)).withColumn("is_filtered", F.col("filter_reason").isNotNull())
+    both = cut.drop("_key", "_text").unionByName(made.where(~long).withColumn("_piece", F.lit(0)))
+    return index_chunks(both.withColumn("strategy", F.lit("hybrid_semantic_layout")), ["order_key", "bucket_rank", "group_no", "chunk_no", "_piece"]).drop("_piece")
+
+
 def describe(chunks: DataFrame, config: ChunkerConfig, strategy: str) -> DataFrame:
     """Content, statistics and flags of chunks from their items. Chunks of blank content are dropped."""
     items = F.col("items")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
+from foliospark.operators.images import preprocess_pages
+from foliospark.operators.quality import page_metrics
 
 REGION_SCHEMA = "doc_id long, page_number int, line_no int, text string, confidence double, x1 double, y1 double, x2 double, y2 double, error string"
 REGION_ARROW = pa.schema([("doc_id", pa.int64()), ("page_number", pa.int32()), ("line_no", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in ("confidence", "x1", "y1", "x2", "y2")], ("error", pa.string())])
@@ -38,6 +40,66 @@ class RegionSource(ABC):
         return True
 
 
+def run_engines(pages: DataFrame, engines: list[tuple[str, Callable[[], RegionSource]]], parallel: bool = False, enable_fallback: bool = True, steps: tuple[str, ...] = (), metrics: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(regions of the engine chosen for each document, with engine and priority; documents that none read well enough).
+
+    One after the other, an engine gets only the documents that those before it left unresolved; in parallel each gets all and
+    the best one counts. Without fallback the first engine's result stands, good or not. With steps, pages are gray images
+    and are preprocessed first. metrics: regions to page measures, from operators.quality unless given. Pages that fail
+    are rows with their error, of confidence 0 for the measures. The engines are run once: their regions are kept.
+    """
+    if not engines:
+        raise RuntimeError("no engines are available")
+    measure = metrics or page_metrics
+    todo = preprocess_pages(pages, steps).drop("applied") if steps else pages
+    docs = pages.select("doc_id").distinct()
+    kept, left = [], docs
+    for k, (name, make) in enumerate(engines):
+        mine = todo if parallel or k == 0 else todo.join(left, "doc_id", "left_semi")
+        read = recognize(mine, make).withColumns({"engine": F.lit(name), "priority": F.lit(k)}).persist()
+        kept.append(read)
+        if parallel:
+            continue
+        if not enable_fallback:
+            return read, docs.join(read, "doc_id", "left_anti")
+        good = gate(_measured(read, measure)).where("passes").select("doc_id")
+        left = left.join(good, "doc_id", "left_anti")
+    each = kept[0]
+    for r in kept[1:]:
+        each = each.unionByName(r)
+    measured = _measured(each, measure)
+    chosen = (best_of if parallel else fallback)(measured).select("doc_id", "engine")
+    return each.join(chosen, ["doc_id", "engine"]), docs.join(chosen, "doc_id", "left_anti")
+
+
+def _measured(read: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Measures of each page and engine; a failed page has confidence and coverage 0."""
+    parts = None
+    for name, k in read.select("engine", "priority").distinct().collect():
+        own = read.where((F.col("engine") == name) & (F.col("priority") == k))
+        good = measure(own.where("error is null")).select("doc_id", "page_number", "overall_confidence", "text_coverage_ratio")
+        failed = own.where("error is not null").select("doc_id", "page_number", F.lit(0.0).alias("overall_confidence"), F.lit(0.0).alias("text_coverage_ratio"))
+        both = good.unionByName(failed).withColumns({"engine": F.lit(name), "priority": F.lit(k)})
+        parts = both if parts is None else parts.unionByName(both)
+    return parts if parts is not None else read.select("doc_id", "page_number", F.col("confidence").alias("overall_confidence"), F.col("confidence").alias("text_coverage_ratio"), "engine", "priority").limit(0)
+
+
+def errors_of(recognized: DataFrame, step: str = "ocr_extraction", recoverable: bool = False) -> DataFrame:
+    """Error records of the pages that failed: (doc_id, page_number, step, error_type, message, is_recoverable)."""
+    split = F.split("error", ": ", 2)
+    return recognized.where("error is not null").select("doc_id", "page_number", F.lit(step).alias("step"), F.get(split, 0).alias("error_type"), F.coalesce(F.get(split, 1), F.lit("")).alias("message"), F.lit(recoverable).alias("is_recoverable"))
+
+
+def table_regions(regions: DataFrame) -> DataFrame:
+    """Of decoded entities those that are tables."""
+    return regions.where(F.col("region_type") == "table")
+
+
+def model_confidence(texts: DataFrame) -> DataFrame:
+    """(doc_id, models, mean_confidence) over the models that gave a text: (doc_id, model, text, confidence)."""
+    return texts.where("text is not null").groupBy("doc_id").agg(F.count("*").alias("models"), F.avg("confidence").alias("mean_confidence"))
+
+
 def recognize(pages: DataFrame, make: Callable[[], RegionSource]) -> DataFrame:
     """Regions of all pages. A page that fails gives one row with the error and nothing else."""
 

@@ -68,6 +68,9 @@ def _with_content(g: DataFrame, languages: DataFrame | None, tables: DataFrame |
         "words_per_sentence": X.ratio(words, F.col("sentences")), "artifact_ratio": X.ratio(F.col("repeated_sequences") + F.col("short_words"), words),
     }).drop("_text", "_words", "_ink")
     shared = lambda df: [c for c in PAGE if c in df.columns]
+    for side in (languages, tables):
+        if side is not None and not shared(side):
+            raise ValueError(f"languages and tables must name {PAGE[0]}")
     out = out.join(languages, shared(languages), "left") if languages is not None else out.withColumn("language", F.lit(None).cast("string"))
     out = out.join(tables, shared(tables), "left") if tables is not None else out.withColumn("n_tables", F.lit(0).cast("long"))
     structure = (F.col("sentences") > 0) & (F.col("words_per_sentence") > 3) & (F.col("average_word_length") > 2)

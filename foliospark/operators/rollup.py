@@ -17,8 +17,12 @@ def pages_per_minute(pages: Column, seconds: Column) -> Column:
     return X.ratio(pages * 60, seconds)
 
 
-def document_result(assessed: DataFrame, chunks: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One row for each document. Pages that aren't acceptable count as failed besides being processed."""
+def document_result(assessed: DataFrame, chunks: DataFrame, errors: DataFrame | None = None, durations: DataFrame | None = None) -> DataFrame:
+    """One row for each document. Pages that aren't acceptable count as failed besides being processed.
+
+    errors: records of failed steps; a document with one that can't be recovered has failed, and is there even if nothing
+    of it was processed. durations: (doc_id, seconds); they add seconds and pages_per_minute.
+    """
     pages = assessed.groupBy("doc_id").agg(F.count("*").alias("pages_processed"), F.count_if(~F.col("acceptable_for_rag")).alias("pages_failed"), F.avg("overall_score").alias("page_score"), F.sum("total_characters").alias("assessed_characters"), F.avg("mean").alias("page_confidence"))
     ready = chunks.withColumn("_ready", suitable_for_rag())
     parts = ready.groupBy("doc_id").agg(
@@ -26,13 +30,17 @@ def document_result(assessed: DataFrame, chunks: DataFrame, errors: DataFrame |
         F.avg("average_confidence").alias("chunk_confidence"), F.sum(F.length("content")).alias("chunk_characters"),
     )
     out = pages.join(parts, "doc_id", "left").fillna(0, ["total_chunks", "high_quality_chunks", "filtered_chunks", "rag_ready_chunks", "chunk_characters"])
-    out = out.join(errors.groupBy("doc_id").agg(F.count("*").alias("n_errors"), F.max(~F.col("is_recoverable")).alias("fatal")), "doc_id", "left") if errors is not None else out.withColumn("n_errors", F.lit(0).cast("long")).withColumn("fatal", F.lit(False))
+    failed = errors and errors.groupBy("doc_id").agg(F.count("*").alias("n_errors"), F.max(~F.col("is_recoverable")).alias("fatal"))
+    counts = ["pages_processed", "pages_failed", "total_chunks", "high_quality_chunks", "filtered_chunks", "rag_ready_chunks", "chunk_characters", "assessed_characters", "page_score", "page_confidence"]
+    out = out.join(failed, "doc_id", "full").fillna(0, counts) if errors is not None else out.withColumn("n_errors", F.lit(0).cast("long")).withColumn("fatal", F.lit(False))
     out = out.withColumn("success_rate", success_rate(F.col("pages_processed"), F.col("pages_failed"))).withColumn("quality_rate", X.ratio(F.col("high_quality_chunks"), F.col("total_chunks")))
     out = out.withColumn("average_confidence", F.coalesce("chunk_confidence", "page_confidence"))
     out = out.withColumn("overall_score", F.when(F.col("total_chunks") > 0, (F.col("average_confidence") + F.col("success_rate") + F.col("quality_rate")) / 3).otherwise(F.col("page_score")))
     out = out.withColumn("total_text", F.greatest("assessed_characters", "chunk_characters")).withColumn("is_high_quality", (F.col("average_confidence") >= 0.8) & (F.col("success_rate") >= 0.9) & (F.col("quality_rate") >= 0.7))
     status = F.when(F.coalesce("fatal", F.lit(False)), "failed").otherwise("completed")
     out = out.withColumn("status", status).withColumn("is_successful", (F.col("status") == "completed") & (F.col("total_chunks") > 0)).withColumn("has_errors", F.coalesce("n_errors", F.lit(0)) > 0)
+    if durations is not None:
+        out = out.join(durations.select("doc_id", "seconds"), "doc_id", "left").withColumn("pages_per_minute", pages_per_minute(F.col("pages_processed"), F.coalesce("seconds", F.lit(0.0))))
     return out.drop("page_score", "page_confidence", "chunk_confidence", "assessed_characters", "chunk_characters", "n_errors", "fatal")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
+from foliospark.functions import language as N
 from foliospark.functions import text as X
 from foliospark.operators import chunkers as C
 from foliospark.operators import classify as K
@@ -17,10 +18,12 @@ from foliospark.operators import layout as L
 from foliospark.operators import quality as Q
 from foliospark.operators import rollup as R
 from foliospark.operators import tables as T
+from foliospark.operators.images import preprocess_pages
 from foliospark.plans import pipeline as W
 from foliospark.schema import ChunkerConfig, violations
 from foliospark.sources import files as S
 from foliospark.sources import fixtures as M
+from foliospark.sources import pages as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,32 +43,34 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
-    """Regions for all that looks at pages or documents.
+    """Regions for all that looks at pages: one exchange, of texts cut into pages, serves every window and aggregate over them."""
+    return M.regions_by_page(M.table(spark, d, "documents").select("doc_id", "text"))
 
-    One exchange by document, of texts and before they are cut up, serves every window and aggregate that follows.
-    """
+
+def by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Regions for all that looks at documents and their pages: one exchange by document, of whole texts, serves both."""
     return M.regions(M.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"))
 
 
-def typed(spark: SparkSession, d: str) -> DataFrame:
-    return L.refine_types(L.reading_order(regions(spark, d)))
+def typed(spark: SparkSession, d: str, source: Callable = regions) -> DataFrame:
+    return L.refine_types(L.reading_order(source(spark, d)))
 
 
-def plain(spark: SparkSession, d: str) -> DataFrame:
+def plain(spark: SparkSession, d: str, source: Callable = regions) -> DataFrame:
     """Regions as quality assessment sees them, with refined types for its counts, in no reading order yet."""
-    return L.refine_types(regions(spark, d)).withColumn("reading_order", F.lit(None).cast("int"))
+    return L.refine_types(source(spark, d)).withColumn("reading_order", F.lit(None).cast("int"))
 
 
 def languages(spark: SparkSession, d: str) -> DataFrame:
     return M.table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"))
 
 
-def assessed(spark: SparkSession, d: str) -> DataFrame:
-    return Q.assess(plain(spark, d), languages=languages(spark, d))
+def assessed(spark: SparkSession, d: str, source: Callable = regions) -> DataFrame:
+    return Q.assess(plain(spark, d, source), languages=languages(spark, d))
 
 
 def layout_made(spark: SparkSession, d: str) -> DataFrame:
-    return C.layout_chunks(typed(spark, d), CONFIG)
+    return C.layout_chunks(typed(spark, d, by_document), CONFIG)
 
 
 def show(chunks: DataFrame) -> DataFrame:
@@ -82,17 +87,17 @@ def chunks_layout_aware(spark, d):
 
 @query
 def chunks_confidence(spark, d):
-    return show(C.confidence_chunks(typed(spark, d), CONFIG))
+    return show(C.confidence_chunks(typed(spark, d, by_document), CONFIG))
 
 
 @query
 def chunks_confidence_notes(spark, d):
-    return C.notes(C.confidence_chunks(typed(spark, d), CONFIG)).select("chunk_id", "processing_notes")
+    return C.notes(C.confidence_chunks(typed(spark, d, by_document), CONFIG)).select("chunk_id", "processing_notes")
 
 
 @query
 def chunks_mixed(spark, d):
-    return show(C.mixed_chunks(typed(spark, d), ChunkerConfig(chunk_size=600, variance_threshold=0.02)))
+    return show(C.mixed_chunks(typed(spark, d, by_document), ChunkerConfig(chunk_size=600, variance_threshold=0.02)))
 
 
 @query
@@ -401,7 +406,7 @@ def recommendations(spark, d):
 
 
 def results(spark, d):
-    return R.document_result(assessed(spark, d), layout_made(spark, d))
+    return R.document_result(assessed(spark, d, by_document), layout_made(spark, d))
 
 
 @query
@@ -588,3 +593,98 @@ def split_sentences(spark, d):
 @query
 def split_semantic(spark, d):
     return W.split_texts(M.table(spark, d, "documents"), "semantic")
+
+
+@query
+def page_images(spark, d):
+    """Pages of image files of several formats, as their sizes and a weighted sum of their pixels."""
+    pages = I.read_pages(M.image_files(M.table(spark, d, "embeddings")))
+    # Of gray pixels as numbers; a BMP has each of them three times.
+    pixel = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda k: F.conv(F.hex(F.substring("pixels", k, F.lit(1))), 16, 10).cast("long") * k)
+    weighed = F.aggregate(pixel, F.lit(0).cast("long"), lambda a, v: a + v)
+    return pages.select("path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("page_number", "height", "width", "channels")], F.coalesce(weighed, F.lit(0)).cast("long").alias("weighed"), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def bio_tables(spark, d):
+    t = M.bio_tokens(M.table(spark, d, "documents")).withColumn("confidence", F.col("conf_milli") / F.lit(1000.0))
+    return E.table_regions(E.decode_bio(t)).select("doc_id", "first_pos", "n_tokens", "text")
+
+
+@query
+def page_language(spark, d):
+    texts = Q.page_text(L.reading_order(regions(spark, d)))
+    return texts.select(*PAGE, N.engine_code(N.detect(F.col("page_text"))).alias("language"))
+
+
+@query
+def model_confidence(spark, d):
+    docs = M.table(spark, d, "documents")
+    models = [("base", 0.9), ("large", 0.95), ("layout", 0.85)]
+    text = lambda k: F.when((F.col("doc_id") + k) % 4 != 0, F.col("text"))
+    each = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), text(k).alias("text"), (F.lit(c) - F.col("doc_id") % 10 / F.lit(100.0)).alias("confidence")) for k, (m, c) in enumerate(models)])).alias("m"))
+    out = E.model_confidence(each.select("doc_id", "m.*"))
+    return out.select("doc_id", "models", r6(F.col("mean_confidence")).alias("mean_confidence"))
+
+
+def recognized(spark, d):
+    return E.recognize(M.scanned(lines(spark, d)), lambda: E.create("precomputed"))
+
+
+@query
+def engine_recognize(spark, d):
+    """Regions as an engine gives them: a page that it fails on is one row with the error."""
+    r = recognized(spark, d)
+    return r.select(*PAGE, F.coalesce("line_no", F.lit(-1)).alias("line_no"), F.coalesce("text", "error").alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("error").isNotNull().alias("failed"))
+
+
+class _Dim(E.PrecomputedSource):
+    """Every third document with less confidence, so that another engine has to see to it."""
+
+    def read(self, page):
+        return [r | {"confidence": r["confidence"] * (0.5 if page["doc_id"] % 3 == 0 else 1.0)} for r in super().read(page)]
+
+
+@query
+def engines_in_turn(spark, d):
+    """Which engine each document's regions are from, and how many; documents that none read well have none."""
+    found, left = E.run_engines(M.scanned(lines(spark, d)), [("dim", _Dim), ("plain", E.PrecomputedSource)])
+    return found.groupBy("doc_id", "engine").agg(F.count_if(F.col("error").isNull()).alias("n_regions")).unionByName(left.select("doc_id", F.lit(None).cast("string").alias("engine"), F.lit(0).cast("long").alias("n_regions")))
+
+
+@query
+def document_errors(spark, d):
+    """Results of documents some of whose pages failed: those have failed, whatever the other pages gave."""
+    done = W.process(recognized(spark, d).withColumn("region_id", F.concat_ws("_", "doc_id", "page_number", "line_no")))
+    return done.documents.select("doc_id", "status", "pages_processed", "has_errors", "is_successful")
+
+
+@query
+def chunks_table_preserving(spark, d):
+    """Tables of any size as chunks of their own, numbered after the page's others."""
+    t = grids(spark, d).select(F.col("table_id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit(0).alias("table_idx"), F.col("table_text").alias("text"), "x1", "y1", "x2", "y2")
+    made = C.table_preserving_chunks(typed(spark, d, by_document), CONFIG, t)
+    return made.select("chunk_id", *PAGE, "chunk_index", "bucket", F.length("content").alias("characters"), "has_tables")
+
+
+@query
+def chunks_hybrid(spark, d):
+    return show(C.hybrid_chunks(typed(spark, d, by_document), CONFIG))
+
+
+@query
+def broken_paragraphs(spark, d):
+    """Texts whose lines are broken after every comma, made whole again."""
+    t = F.replace(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(", "), F.lit(",\n"))
+    return M.spread(M.table(spark, d, "documents").select("doc_id", t.alias("text"))).select("doc_id", X.group_broken_paragraphs(F.col("text")).alias("text"))
+
+
+@query
+def image_steps(spark, d):
+    """Every image step over pages drawn from vectors: 64 values as the gray levels of the columns of a page 16 pixels high."""
+    v = M.spread(M.table(spark, d, "embeddings").select("vec_id", "embedding"))
+    tone = F.transform("embedding", lambda x: F.lpad(F.hex((F.floor(F.abs(x.cast("double")) * 1000) % 256).cast("long")), 2, "0"))
+    row = F.array_join(tone, "")
+    pages = v.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit(64).alias("width"), F.lit(16).alias("height"), F.unhex(F.repeat(row, F.lit(16))).alias("pixels"))
+    done = preprocess_pages(pages, ("noise_reduction", "contrast_enhancement", "deskew", "binarization", "sharpening"))
+    return done.select("doc_id", "width", "height", F.array_join("applied", ",").alias("applied"))

@@ -439,5 +439,38 @@ oracle("engine_presets", (), """
     SELECT document_type, priority, cloud, array_to_string(list_filter(chosen, lambda e: cloud OR e <> 'aws_textract'), ',') AS engines, priority = 'quality' AS parallel FROM o""")
 oracle("supported_formats", (), "SELECT unnest(['pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp']) AS format")
 
+# Pages, engines, languages
+step("pix0", (), "SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) % 256) AS g FROM embeddings WHERE vec_id % 10 <> 9")
+step("pix", ("pix0",), "SELECT vec_id, p.n AS page_number, list_transform(g, lambda v: CASE WHEN p.n = 2 THEN 255 - v ELSE v END) AS g FROM pix0, (VALUES (1), (2)) p(n) WHERE vec_id % 10 <> 7 AND (p.n = 1 OR vec_id % 3 = 2)")
+oracle("page_images", ("pix",), """
+    SELECT '/scans/' || vec_id AS path, page_number, 8 AS height, 8 AS width, CASE WHEN vec_id % 3 = 1 THEN 3 ELSE 1 END AS channels,
+        CAST(list_sum(list_transform(g, lambda v, k: CASE WHEN vec_id % 3 = 1 THEN v * (9 * k - 3) ELSE v * k END)) AS BIGINT) AS weighed, false AS failed FROM pix
+    UNION ALL SELECT '/scans/' || vec_id, 0, 0, 0, 0, 0, true FROM pix0 WHERE vec_id % 10 = 7""")
+oracle("bio_tables", ("tok6",), "SELECT doc_id, CAST(min(pos) AS INTEGER) AS first_pos, count(*) AS n_tokens, replace(string_agg(word, ' ' ORDER BY pos), ' ##', '') AS text FROM tok6 WHERE f NOT LIKE 'I-%' AND substr(f, 3) = 'TABLE' GROUP BY doc_id, e, f")
+_STOP = {
+    "de": "der die das und ist nicht ein eine von mit den dem zu im auf sich des für auch als an es werden aus", "en": "the and of to in is that it was for on with as are be this have from or by not but they you which",
+    "es": "el los las y que una un por con para del se al como es su más pero sus lo está entre cuando muy", "fr": "le la les et des est une un que dans pour pas sur au par plus du qui ce il avec sont aux ne",
+}
+step("lang0", ("ordered",), f"SELECT {PG}, string_agg(text, ' ' ORDER BY reading_order) AS t FROM ordered GROUP BY ALL")
+_HEARD = words("regexp_replace(lower(t), '[.,;:!?()" + '"' + "]+', ' ', 'g')")
+step("lang1", ("lang0",), f"SELECT *, {_HEARD} AS ws FROM lang0")
+step("lang2", ("lang1",), "SELECT *, " + ", ".join(f"len(list_filter(ws, lambda w: list_contains({v.split()!r}, w))) AS {k}" for k, v in _STOP.items()) + " FROM lang1")
+oracle("page_language", ("lang2",), f"SELECT {PG}, CASE WHEN length({strip('t')}) <= 20 OR greatest(de, en, es, fr) = 0 THEN 'en' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS language FROM lang2")
+oracle("model_confidence", (), f"""
+    WITH m AS (SELECT doc_id, CAST(c AS DOUBLE) - CAST(doc_id % 10 AS DOUBLE) / 100 AS confidence FROM documents, (VALUES (0, 0.9), (1, 0.95), (2, 0.85)) v(k, c) WHERE (doc_id + k) % 4 <> 0)
+    SELECT doc_id, count(*) AS models, {r6('avg(confidence)')} AS mean_confidence FROM m GROUP BY 1""")
+step("seen", ("regions",), f"SELECT {PG}, CAST(row_number() OVER (PARTITION BY {PG} ORDER BY line_no) - 1 AS INTEGER) AS line_no, text, confidence, (x2 - x1) * (y2 - y1) AS area, (doc_id + page_number) % 7 = 0 AS failed FROM regions")
+oracle("engine_recognize", ("seen",), f"SELECT {PG}, line_no, text, confidence, false AS failed FROM seen WHERE NOT failed UNION ALL SELECT DISTINCT {PG}, -1, 'TypeError: ''NoneType'' object is not iterable', CAST(0 AS DOUBLE), true FROM seen WHERE failed")
+step("turn0", ("seen",), f"SELECT e.engine, e.priority, {PG}, CASE WHEN bool_or(failed) THEN 0 ELSE avg(confidence * CASE WHEN e.engine = 'dim' AND doc_id % 3 = 0 THEN CAST(0.5 AS DOUBLE) ELSE 1 END) END AS oc, CASE WHEN bool_or(failed) THEN 0 ELSE least(sum(area) / 630000.0, 1.0) END AS tc, CASE WHEN bool_or(failed) THEN 0 ELSE count(*) END AS n FROM seen, (VALUES ('dim', 0), ('plain', 1)) e(engine, priority) GROUP BY ALL")
+step("turn", ("turn0",), "SELECT doc_id, engine, priority, sum(n) AS n, coalesce(avg(oc) FILTER (oc > 0) >= CAST(0.6 AS DOUBLE) AND avg(tc) FILTER (oc > 0) >= CAST(0.05 AS DOUBLE), false) AS passes FROM turn0 GROUP BY ALL")
+oracle("engines_in_turn", ("turn",), "SELECT doc_id, arg_min(engine, priority) FILTER (passes) AS engine, CAST(coalesce(arg_min(n, priority) FILTER (passes), 0) AS BIGINT) AS n_regions FROM turn GROUP BY 1")
+oracle("broken_paragraphs", (), f"""
+    WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS para FROM documents),
+    l AS (SELECT doc_id, i, unnest(range(len(string_split(para, ', ')))) AS j, len(string_split(para, ', ')) AS m, regexp_matches(para, '^\\s*[•·▪●○■□*\\-–]') AS bullet, unnest(string_split(para, ', ')) AS line FROM p),
+    c AS (SELECT *, regexp_replace(line, '^ +| +$', '', 'g') || CASE WHEN j < m - 1 THEN ',' ELSE '' END AS whole FROM l),
+    g AS (SELECT doc_id, i, CASE WHEN any_value(bullet) OR max({n_words('whole')}) < 5 THEN string_agg(whole, chr(10) || chr(10) ORDER BY j) ELSE string_agg(whole, ' ' ORDER BY j) END AS t FROM c GROUP BY ALL)
+    SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM g WHERE {strip('t')} <> '' GROUP BY 1""")
+
+
 # A query that starts with a comma goes on with the steps' WITH.
 ORACLES = {k: v.replace(") \n    , ", "), ").replace(")  , ", "), ") for k, v in ORACLES.items()}

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
 from foliospark.functions.splitters import split_texts
-from foliospark.operators import chunkers, layout, quality, rollup
+from foliospark.operators import chunkers, engines, layout, quality, rollup
 from foliospark.schema import ChunkerConfig, TextConfig, validate_regions
 
-CHUNKERS = {"layout_aware": chunkers.layout_chunks, "confidence_based": chunkers.confidence_chunks}
+CHUNKERS = {"layout_aware": chunkers.layout_chunks, "confidence_based": chunkers.confidence_chunks, "hybrid_semantic_layout": chunkers.hybrid_chunks, "table_preserving": chunkers.table_preserving_chunks}
+WITH_TABLES = ("layout_aware", "table_preserving")
 
 
 @dataclass
@@ -23,24 +25,45 @@ class Processed:
     page_quality: DataFrame
     documents: DataFrame
     quarantined: DataFrame
+    warnings: list[str] = field(default_factory=list)
 
 
-def process(regions: DataFrame, strategy: str = "layout_aware", config: ChunkerConfig = ChunkerConfig(), languages: DataFrame | None = None, tables: DataFrame | None = None) -> Processed:
+def process(regions: DataFrame, strategy: str = "layout_aware", config: ChunkerConfig = ChunkerConfig(), languages: DataFrame | None = None, tables: DataFrame | None = None, durations: DataFrame | None = None, assess_quality: bool = True) -> Processed:
     """Quality sees regions before layout analysis, chunking those after it.
 
-    Regions that break the model's rules are set aside and stop nothing.
+    Regions that break the model's rules are set aside and stop nothing. Rows with an error, as recognize() gives them, are
+    failed pages: they make their document one that failed. If quality assessment or layout analysis can't be planned over
+    these regions, a warning says so and the rest goes on, without scores or with the regions as they came; recognition
+    and chunking have no substitute, so their errors are raised.
     """
     if strategy not in CHUNKERS:
         raise ValueError(f"no chunking strategy {strategy!r}")
-    valid, bad = validate_regions(regions)
+    errors = engines.errors_of(regions) if "error" in regions.columns else None
+    read = regions.where("error is null").drop("error") if errors is not None else regions
+    valid, bad = validate_regions(read)
+    warnings: list[str] = []
     plain = valid
     for name, kind in (("region_type", "string"), ("reading_order", "int")):
         if name not in plain.columns:
             plain = plain.withColumn(name, F.lit("unknown" if name == "region_type" else None).cast(kind))
-    assessed = quality.assess(plain, languages=languages)
-    analyzed = layout.refine_types(layout.reading_order(valid))
-    made = chunkers.layout_chunks(analyzed, config, tables) if strategy == "layout_aware" else CHUNKERS[strategy](analyzed, config)
-    return Processed(made, assessed, rollup.document_result(assessed, made), bad)
+    try:
+        assessed = quality.assess(plain, languages=languages) if assess_quality else unassessed(plain)
+    except (AnalysisException, ValueError) as e:
+        warnings.append(f"Quality assessment failed: {e}")
+        assessed = unassessed(plain)
+    try:
+        analyzed = layout.refine_types(layout.reading_order(valid))
+    except AnalysisException as e:
+        warnings.append(f"Layout analysis failed: {e}")
+        analyzed = plain
+    made = CHUNKERS[strategy](analyzed, config, tables) if strategy in WITH_TABLES else CHUNKERS[strategy](analyzed, config)
+    return Processed(made, assessed, rollup.document_result(assessed, made, errors, durations), bad, warnings)
+
+
+def unassessed(regions: DataFrame) -> DataFrame:
+    """Pages as document_result() takes them where quality wasn't assessed: none fails."""
+    pages = regions.groupBy("doc_id", "page_number").agg(F.avg("confidence").alias("mean"), F.sum(F.length("text")).alias("total_characters"))
+    return pages.withColumns({"overall_score": F.lit(0.0), "acceptable_for_rag": F.lit(True)})
 
 
 def text_scores(docs: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ Geometry and confidences are whole-number arithmetic, so any engine gives equal
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources.pages import write_bmp, write_png, write_tiff
+
 PAGE_WIDTH, PAGE_HEIGHT, LINES = 700, 900, 12
 ENGINE_ROWS = [("easyocr", 0), ("tesseract", 1), ("paddleocr", 2)]
 BIO = ["O", *(f"{edge}-{kind}" for kind in ("HEADER", "QUESTION", "ANSWER", "TABLE", "LIST", "CAPTION") for edge in "BI")]
@@ -25,16 +29,29 @@ def spread(df: DataFrame) -> DataFrame:
 
 def regions(documents: DataFrame) -> DataFrame:
     """One region for each whole line that isn't blank, twelve to a page, in one or two columns. Marks are added, so that the rules for types have something to find."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).where(F.trim("raw") != "")
+    return _placed(documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")))
+
+
+def regions_by_page(documents: DataFrame) -> DataFrame:
+    """The same regions, spread by document and page before pages are cut into lines: a long document is as many groups as it has pages."""
+    lines = F.split("text", "\n")
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / LINES).cast("int")), lambda p: F.slice(lines, p * LINES + 1, LINES))
+    each = documents.where("text is not null").select("doc_id", F.posexplode(pages).alias("p", "lines")).select("doc_id", (F.col("p") + 1).alias("page_number"), "lines").repartition("doc_id", "page_number")
+    return _placed(each.select("doc_id", "page_number", F.posexplode("lines").alias("k", "raw")).select("doc_id", "page_number", ((F.col("page_number") - 1) * LINES + F.col("k")).alias("line_no"), "raw"))
+
+
+def _placed(each: DataFrame) -> DataFrame:
+    lines = each.where(F.trim("raw") != "")
     r = F.col("line_no") % LINES
     text = F.when(r.isin(0, 8), F.concat("raw", F.lit(" \u2014"))).when(r.isin(3, 4), F.concat(F.lit("- "), "raw")).when(r == 5, F.concat(F.lit("2. "), "raw")).when(r == 7, F.concat(F.lit("Figure 1: "), "raw")).otherwise(F.col("raw"))
-    named = lines.select("doc_id", "line_no", text.alias("text"), r.alias("r")).withColumn("n", F.length("text"))
+    page = F.col("page_number") if "page_number" in each.columns else (1 + (F.col("line_no") - r) / LINES).cast("int")
+    named = lines.select("doc_id", page.alias("page_number"), "line_no", text.alias("text"), r.alias("r")).withColumn("n", F.length("text"))
     mixed = named.withColumn("h", F.col("doc_id") * 7919 + F.col("line_no") * 104729 + F.col("n") * 31).withColumn("nc", 1 + F.col("doc_id") % 2)
     milli = (300 + F.col("h") % 700).cast("int")
     x1 = F.when((F.col("r") == 8) & (F.col("nc") == 1), 140).when(F.col("r") == 8, 285).otherwise(50 + 300 * (F.col("r") % F.col("nc")) + 7 * (F.col("line_no") % 3)).cast("double")
     y1 = (40 + 45 * ((F.col("r") - F.col("r") % F.col("nc")) / F.col("nc"))).cast("double")
     placed = mixed.select(
-        F.concat_ws("_", "doc_id", "line_no").alias("region_id"), "doc_id", (1 + (F.col("line_no") - F.col("r")) / LINES).cast("int").alias("page_number"), "line_no", "n", milli.alias("conf_milli"),
+        F.concat_ws("_", "doc_id", "line_no").alias("region_id"), "doc_id", "page_number", "line_no", "n", milli.alias("conf_milli"),
         (milli.cast("double") / F.lit(1000.0)).alias("confidence"), x1.alias("x1"), y1.alias("y1"), (x1 + F.least(F.lit(250), 20 + F.col("n"))).alias("x2"), (y1 + 20 + 9 * (F.col("h") % 6)).alias("y2"), "text",
     )
     return placed.where(F.length(F.trim("text")) > 0)
@@ -80,3 +97,25 @@ def ocr_blocks(cells: DataFrame) -> DataFrame:
     origin = F.element_at("blocks", 1)["Geometry"]
     head = F.struct(F.lit("t-0").alias("Id"), F.lit("TABLE").alias("BlockType"), no.alias("RowIndex"), no.alias("ColumnIndex"), nothing.alias("Text"), F.lit(99.0).cast("double").alias("Confidence"), origin.alias("Geometry"), ids.alias("Ids"))
     return grouped.select("table_id", F.to_json(F.struct(F.concat(F.array(head), "blocks").alias("Blocks"))).alias("json"))
+
+
+def image_files(embeddings: DataFrame) -> DataFrame:
+    """(path, content): each vector as an image of 8 x 8 pixels, by turns a PNG, a BMP and a TIFF of two pages; some files are cut short, some are of no known type."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = (np.floor(np.abs(v.values.to_numpy().astype(float)) * 1000).astype(np.int64) % 256).astype(np.uint8).reshape(8, 8, 1)
+                data = [write_png(x, k // 3 % 3), write_bmp(x), write_tiff([x, 255 - x], (1, 8, 32773)[k // 3 % 3])][k % 3]
+                out.append(data[:60] if k % 10 == 7 else b"text" + data if k % 10 == 9 else data)
+            yield pa.RecordBatch.from_arrays([pa.array([f"/scans/{k}" for k in batch.column(0).to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
+
+    return embeddings.select("vec_id", "embedding").mapInArrow(run, "path string, content binary")
+
+
+def scanned(regions: DataFrame) -> DataFrame:
+    """Pages with their recognised regions in a column, for the engine that reads them from there; every seventh page's are missing."""
+    item = F.struct("line_no", "text", "confidence", "x1", "y1", "x2", "y2")
+    pages = regions.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(item)), lambda r: r.dropFields("line_no")).alias("regions"))
+    return pages.withColumn("regions", F.when((F.col("doc_id") + F.col("page_number")) % 7 != 0, F.col("regions")))
