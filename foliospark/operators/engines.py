@@ -149,6 +149,14 @@ def status(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(rows), "engine string, available boolean")
 
 
+#: Libraries that add to what is built in: geometry, element partitioning, layout models.
+OPTIONAL = ("layoutparser", "shapely", "unstructured")
+
+
+def optional_libraries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, find_spec(n) is not None) for n in OPTIONAL], "library string, available boolean")
+
+
 def normalize_config(engines: str | list, **defaults) -> list[dict]:
     """Names or records of engines as a list of records."""
     listed = [engines] if isinstance(engines, (str, dict)) else list(engines)

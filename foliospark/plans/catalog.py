@@ -574,6 +574,11 @@ def engine_status(spark, d):
     return E.status(spark)
 
 
+@query
+def optional_libraries(spark, d):
+    return E.optional_libraries(spark)
+
+
 @query
 def html_elements(spark, d):
     return S.html_elements(M.table(spark, d, "pages"))

@@ -439,7 +439,9 @@ oracle("engine_presets", (), """
     SELECT document_type, priority, cloud, array_to_string(list_filter(chosen, lambda e: cloud OR e <> 'aws_textract'), ',') AS engines, priority = 'quality' AS parallel FROM o""")
 oracle("supported_formats", (), "SELECT unnest(['pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp']) AS format")
 
-# Pages, engines, languages
+# Pages, engines, languages. None of these libraries is at hand where the queries are checked.
+oracle("engine_status", (), "SELECT * FROM (VALUES ('aws_textract', false), ('easyocr', false), ('layoutlmv3', false), ('paddleocr', false), ('precomputed', true), ('tesseract', false), ('trocr', false)) v(engine, available)")
+oracle("optional_libraries", (), "SELECT * FROM (VALUES ('layoutparser', false), ('shapely', false), ('unstructured', false)) v(library, available)")
 step("pix0", (), "SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) % 256) AS g FROM embeddings WHERE vec_id % 10 <> 9")
 step("pix", ("pix0",), "SELECT vec_id, p.n AS page_number, list_transform(g, lambda v: CASE WHEN p.n = 2 THEN 255 - v ELSE v END) AS g FROM pix0, (VALUES (1), (2)) p(n) WHERE vec_id % 10 <> 7 AND (p.n = 1 OR vec_id % 3 = 2)")
 oracle("page_images", ("pix",), """
