@@ -21,14 +21,14 @@ columns stay as they are, whatever their names. An empty table gives an empty re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import Numbered, map_arrow
+from foliospark.llm.runtime import Numbered
 
 _MASK = 2**64 - 1
 SLOTS = 4
@@ -155,51 +155,54 @@ class LiveTexts:
 MOST_LIVE, MOST_CHARS = 1 << 18, 1 << 26
 
 
-def _combine(batches: Iterator[pa.RecordBatch], text: str, key: str | None, most_live: int = MOST_LIVE, most_chars: int = MOST_CHARS) -> Iterator[pa.RecordBatch]:
-    """Columns: row (struct), digest, tie. Drops what an earlier row of the partition already stands for.
+Columns = tuple[pa.Array, ...]
+
+
+def _combine(parts: Iterator[Columns], most_live: int = MOST_LIVE, most_chars: int = MOST_CHARS) -> Iterator[np.ndarray]:
+    """Of a partition's rows (text, digest, tie, key), batch by batch, which stay: not those that an earlier row of the partition stands for.
 
     The second row of a text goes on, as does any that ranks before those seen, and the shard settles it.
     """
     live, row, held = LiveTexts(), 0, 0
     index = live.index
-    for batch in batches:
-        rows = batch.column(0)
-        texts = rows.field(text)
-        keys = rows.field(key).to_pylist() if key else [None] * len(rows)
-        drop = np.zeros(batch.num_rows, bool)
-        for i, (d, tie) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+    for texts, digests, ties, keys in parts:
+        stay = np.ones(len(texts), bool)
+        for i, (d, tie, key) in enumerate(zip(digests.to_pylist(), ties.to_pylist(), keys.to_pylist())):
             if not texts[i].is_valid:
                 continue
             if not index.insert(d):
                 row += 1
-                rank = (keys[i] is None, keys[i] if keys[i] is not None else 0, tie)
                 value = texts[i].as_py()
                 before = len(index.contents[d])
-                drop[i] = live.offer(d, value, rank, row) == row
+                stay[i] = live.offer(d, value, (key is None, key if key is not None else 0, tie), row) != row
                 held += len(value) * (len(index.contents[d]) - before)
             while len(index) > most_live or held > most_chars:
                 held -= sum(len(x[0]) for x in index.delete(index.oldest()))
-        yield batch.filter(pa.array(~drop)) if drop.any() else batch
+        yield stay
 
 
-def _drop_sorted(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Rows come by digest, and best rank first: the first of equal texts stays."""
+def _drop_sorted(parts: Iterator[Columns]) -> Iterator[np.ndarray]:
+    """Which rows (text, digest) stay: they come by digest, and best rank first, so the first of equal texts does."""
     live, last = LiveTexts(), None
-    for batch in batches:
-        texts = batch.column(0).field(text)
-        keep = np.ones(batch.num_rows, bool)
-        digests = batch.column(1).to_numpy()
-        many = np.concatenate([digests[1:] == digests[:-1], [True]])  # what follows the batch isn't known
-        many[1:] |= digests[1:] == digests[:-1]
-        many[0] = True  # what came before it may be equal
+    for texts, column in parts:
+        stay = np.ones(len(texts), bool)
+        digests = column.to_numpy()
+        # Alone is what differs from both neighbours; what comes before and after the batch isn't known.
+        many = np.ones(len(stay), bool)
+        many[1:-1] = (digests[1:-1] == digests[:-2]) | (digests[1:-1] == digests[2:])
         for i in np.flatnonzero(many):
             d = int(digests[i])
             if d != last and last is not None:
                 live.index.delete(last)
             last = d
             if texts[i].is_valid:
-                keep[i] = live.offer(d, texts[i].as_py(), (), int(i)) is None
-        yield batch.filter(pa.array(keep))
+                stay[i] = live.offer(d, texts[i].as_py(), (), int(i)) is None
+        yield stay
+
+
+def _flags(run) -> Callable[..., Column]:
+    """A column of what run says of the rows of a partition in turn. Only its columns go to the Python workers, and only flags come back."""
+    return F.arrow_udf(lambda parts: (pa.array(x) for x in run(parts)), "boolean", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
 def exact_dedup(df: DataFrame, text: str = "text", key: str | None = "doc_id") -> DataFrame:
@@ -208,10 +211,8 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str | None = "doc_id") -
     rows = Numbered(df)
     tie = F.xxhash64(*rows.df.columns)
     digest = F.when(rows[text].isNotNull(), F.xxhash64(rows[text])).otherwise(tie)
-    packed = rows.df.select(rows.row().alias("row"), digest.alias("digest"), tie.alias("tie"))
-    text, key = f"_c{rows.place(text)}", key and f"_c{rows.place(key)}"
-    combine = lambda batches: _combine(batches, text, key)
-    settle = lambda batches: _drop_sorted(batches, text)
-    order = [F.col("digest"), *([F.col(f"row.{key}").asc_nulls_last()] if key else []), F.col("tie")]
-    spread = map_arrow(packed, combine, packed.schema).repartition("digest").sortWithinPartitions(*order)
-    return rows.restored(map_arrow(spread, settle, packed.schema))
+    by = rows[key].cast("long") if key else F.lit(None).cast("long")
+    packed = rows.df.select(rows.row().alias("row"), rows[text].alias("text"), digest.alias("digest"), tie.alias("tie"), by.alias("key"))
+    passed = packed.withColumn("stays", _flags(_combine)("text", "digest", "tie", "key")).where("stays").select("row", "digest", "tie", "key")
+    spread = passed.repartition("digest").sortWithinPartitions("digest", F.col("key").asc_nulls_last(), "tie")
+    return rows.restored(spread.withColumn("stays", _flags(_drop_sorted)(f"row._c{rows.place(text)}", "digest")).where("stays"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import Numbered, map_arrow, only
+from foliospark.llm.runtime import BATCH_ROWS, Numbered, map_arrow, only
 from foliospark.llm.textops import U, blocks, utf8
 
 UNIT = 1 << 16
@@ -111,7 +111,7 @@ class Tree:
 class Costs:
     """Open-addressed table from a key to its cost in every language; what isn't there is worked out once and added."""
 
-    MOST = 1 << 20
+    MOST = 1 << 19
 
     def __init__(self, languages: int, bits: int = 16):
         self.bits, self.used, self.languages = bits, 0, languages
@@ -134,7 +134,7 @@ class Costs:
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """New, distinct keys."""
-        while (self.used + len(keys)) * 4 > 1 << self.bits:
+        while (self.used + len(keys)) * 2 > 1 << self.bits:
             old, kept = self.keys[self.keys != 0] - U(1), self.values[self.keys != 0]
             self.__init__(self.languages, self.bits + 1)
             self._put(old, kept)
@@ -262,12 +262,13 @@ def identify(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0, text:
 
 
 def keep_identified(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0, text: str = "text") -> DataFrame:
-    """The rows that identify() keeps, with all of their columns."""
+    """The rows that identify() keeps, with all of their columns. Only texts go to the Python workers, and only flags come back."""
     rows = Numbered(df)
-    at = rows.place(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_best(model, batch.column(at), max_bits_per_byte)[3]))
+    def flags(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [_best(model, column.slice(at, BATCH_ROWS), max_bits_per_byte)[3] for at in range(0, len(column), BATCH_ROWS)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return map_arrow(rows.df, run, rows.df.schema).toDF(*rows.names)
+    kept = rows.df.where(F.arrow_udf(flags, "boolean", F.ArrowUDFType.SCALAR_ITER)(rows[text]))
+    return kept.toDF(*rows.names)

@@ -245,6 +245,18 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
             for y in range(x):
                 shared[x, y] = shared[y, x] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         return shared
+    shared = np.zeros((k, k), np.int64)
+    # Sets are sorted: a range of hashes at a time, so that what is held at once has a bound, however long the texts.
+    ranges = max(1, sum(map(len, sets)) >> 19)
+    marks = np.array([i * 2**64 // ranges for i in range(1, ranges)], U)
+    cuts = [np.concatenate([[0], np.searchsorted(s, marks), [len(s)]]) for s in sets]
+    for r in range(ranges):
+        shared += _shared([s[c[r] : c[r + 1]] for s, c in zip(sets, cuts)])
+    return shared
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    k = len(sets)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.full(len(values), -1)
     rank[counts > 1] = np.arange((counts > 1).sum())

@@ -36,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+BATCH_ROWS = 2000
 _written: dict[str, list[str]] = {}
 
 
@@ -46,7 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Small batches for Python workers while this is written; then the session is as it was.
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    try:
+        if not 0 < int(own) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, own)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._path = path
@@ -108,9 +117,6 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return by_place.df.select(*[by_place[c].alias(n) for n, c in columns.items()])
 
 
-BATCH_ROWS = 2000
-
-
 def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):

@@ -77,19 +77,19 @@ def test_a_partition_holds_no_more_than_its_limits(monkeypatch, live, chars):
     """Old digests leave the index; what its forgetting lets through the settling step drops, as digests that collide can't."""
     r, held = random.Random(3), []
     rows = [(k, r.choice([None, "", "hot", f"text {r.randint(0, 9)}", f"text {r.randint(0, 200)}"])) for k in range(600)]
-    kind = pa.struct([("doc_id", pa.int64()), ("text", pa.string())])
     digest = lambda t, k: 10**6 + k if t is None else len(t) * 7 + sum(map(ord, t)) % 5
-    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([{"doc_id": k, "text": t} for k, t in part], kind), pa.array([digest(t, k) for k, t in part], pa.int64()), pa.array([k for k, _ in part], pa.int64())], ["row", "digest", "tie"])
+    columns = lambda part: (pa.array([t for _, t in part], pa.string()), pa.array([digest(t, k) for k, t in part], pa.int64()), pa.array([k for k, _ in part], pa.int64()), pa.array([k for k, _ in part], pa.int64()))
     real = CuckooIndex.delete
     monkeypatch.setattr(CuckooIndex, "delete", lambda self, key: held.append(len(self)) or real(self, key))
-    passed = [x["row"] for b in E._combine((batch(rows[a : a + 37]) for a in range(0, 600, 37)), "text", "doc_id", live, chars) for x in b.to_pylist()]
+    stay = [x for part in E._combine((columns(rows[a : a + 37]) for a in range(0, 600, 37)), live, chars) for x in part]
     assert not held or max(held) <= live + 1
-    order = sorted(((x["doc_id"], x["text"]) for x in passed), key=lambda x: (digest(x[1], x[0]), x[0]))
-    kept = [x["row"] for b in E._drop_sorted((batch(order[a : a + 11]) for a in range(0, len(order), 11)), "text") for x in b.to_pylist()]
-    first = {}
-    for k, t in rows:
-        first.setdefault(t if t is not None else k, (k, t))
-    assert sorted((x["doc_id"], x["text"]) for x in kept) == sorted(first.values())
+    order = sorted((x for x, ok in zip(rows, stay) if ok), key=lambda x: (digest(x[1], x[0]), x[0]))
+    for size in (1, 2, 11):
+        final = [x for part in E._drop_sorted(columns(order[a : a + size])[:2] for a in range(0, len(order), size)) for x in part]
+        first = {}
+        for k, t in rows:
+            first.setdefault(t if t is not None else k, (k, t))
+        assert sorted((x for x, ok in zip(order, final) if ok), key=repr) == sorted(first.values(), key=repr)
 
 
 def test_a_name_that_occurs_twice(spark):

@@ -115,6 +115,16 @@ def test_copies_of_one_text_cost_a_row_each(spark):
     assert len(got) == 3000 and all(x[1:] == ((1, 1999) if x[0] % 3 else (x[0], 0)) for x in got)
 
 
+def test_shared_counts_of_long_sets_go_by_ranges():
+    r = np.random.default_rng(4)
+    pool = np.unique(r.integers(0, 2**63, 400_000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    sets = [np.sort(r.choice(pool, n, replace=False)) for n in (200_000, 250_000, 1, 0, 150_000, 300_000, 90_000, 200_000)]
+    want = [[0 if i == j else len(np.intersect1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = N.shared_counts(sets)
+    np.fill_diagonal(got, 0)
+    assert got.tolist() == want and sum(map(len, sets)) >> 19 == 2
+
+
 def test_kernels_against_loops():
     r = np.random.default_rng(3)
     sketch = r.integers(0, 3, (60, 16)).astype(np.uint8)
