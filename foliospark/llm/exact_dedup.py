@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import Numbered
+from foliospark.llm.runtime import Numbered, releasing
 
 _MASK = 2**64 - 1
 SLOTS = 4
@@ -202,7 +202,7 @@ def _drop_sorted(parts: Iterator[Columns]) -> Iterator[np.ndarray]:
 
 def _flags(run) -> Callable[..., Column]:
     """A column of what run says of the rows of a partition in turn. Only its columns go to the Python workers, and only flags come back."""
-    return F.arrow_udf(lambda parts: (pa.array(x) for x in run(parts)), "boolean", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return F.arrow_udf(releasing(lambda parts: (pa.array(x) for x in run(parts))), "boolean", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
 def exact_dedup(df: DataFrame, text: str = "text", key: str | None = "doc_id") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import BATCH_ROWS, Numbered, map_arrow, only
+from foliospark.llm.runtime import BATCH_ROWS, Numbered, map_arrow, only, releasing
 from foliospark.llm.textops import U, blocks, utf8
 
 UNIT = 1 << 16
@@ -270,5 +270,5 @@ def keep_identified(df: DataFrame, model: Model, max_bits_per_byte: float = 6.0,
             parts = [_best(model, column.slice(at, BATCH_ROWS), max_bits_per_byte)[3] for at in range(0, len(column), BATCH_ROWS)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    kept = rows.df.where(F.arrow_udf(flags, "boolean", F.ArrowUDFType.SCALAR_ITER)(rows[text]))
+    kept = rows.df.where(F.arrow_udf(releasing(flags), "boolean", F.ArrowUDFType.SCALAR_ITER)(rows[text]))
     return kept.toDF(*rows.names)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.runtime import Numbered, discard, map_arrow, materialize, only
+from foliospark.llm.runtime import Numbered, discard, map_arrow, materialize, only, releasing
 from foliospark.llm.textops import U, Words, blocks, int64_list, mix, utf8
 
 SKETCHES = "doc_id long, set_hash long, sketch binary, paths array<long>"
@@ -370,7 +370,7 @@ class Join:
             return self._buckets
         names = ["path", "rep", "set_hash", "sketch", "depth"]
         first = self.reps.select(F.explode("paths").alias("path"), "rep", "set_hash")
-        paths = first.repartition("path").sortWithinPartitions("path").mapInArrow(drop_lone, first.schema)
+        paths = first.repartition("path").sortWithinPartitions("path").mapInArrow(releasing(drop_lone), first.schema)
         held = materialize(paths.join(self.reps.select("set_hash", "sketch"), "set_hash").select("path", "rep", "set_hash", "sketch", F.lit(1).alias("depth")))
         done, threshold = [], self.threshold
 
@@ -390,7 +390,7 @@ class Join:
             done.append(held.join(large, "path", "left_anti").select(names))
             on = held.join(large, "path")
             if depth < self.max_depth:
-                held = materialize(on.select(names).mapInArrow(children, held.schema))
+                held = materialize(on.select(names).mapInArrow(releasing(children), held.schema))
                 continue
             # Blocks of half of `local`, so that two of them are as large as any other bucket.
             own = on.withColumn("parts", F.ceil(F.col("count") * F.lit(2) / F.lit(self.local)).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_hash"), F.col("parts")).cast("int"))
@@ -422,7 +422,7 @@ class Join:
                     rep, hashes = table.column(1).combine_chunks(), table.column(2).combine_chunks()
                     yield pa.RecordBatch.from_arrays([node(rep.take(pa.array(k)), hashes.take(pa.array(k))) for k in (x, y)], ["a", "b"])
 
-        return self.buckets().repartition("path").sortWithinPartitions("path").mapInArrow(run, f"a {NODE}, b {NODE}").where("a <> b")
+        return self.buckets().repartition("path").sortWithinPartitions("path").mapInArrow(releasing(run), f"a {NODE}, b {NODE}").where("a <> b")
 
     def sides(self, large: DataFrame) -> DataFrame:
         """(root, p, q, rep, set_hash): where the nodes of large components (rep, set_hash, root, own) have near ones, by pair of blocks."""
@@ -444,7 +444,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) if isinstance(c, np.ndarray) else c.combine_chunks().take(took) for c in columns], ["root", "p", "q", "rep", "set_hash"])
 
         met = self.buckets().join(large.select("rep", "set_hash", F.xxhash64("root").alias("root"), "own"), ["rep", "set_hash"]).select("path", "root", "rep", "set_hash", "sketch", "depth", "own")
-        return met.repartition("path", "root").sortWithinPartitions("path", "root").mapInArrow(run, "root long, p int, q int, rep long, set_hash long").distinct()
+        return met.repartition("path", "root").sortWithinPartitions("path", "root").mapInArrow(releasing(run), "root long, p int, q int, rep long, set_hash long").distinct()
 
     def compared(self) -> DataFrame:
         """(node, links, other), a row or more for each node with exact partners: the documents that they stand for in one task, and one of them that connects it, or null."""
@@ -510,7 +510,7 @@ class Join:
                     rep_, hash_ = table.column(4).chunk(0), table.column(5).chunk(0)
                     yield pa.RecordBatch.from_arrays([rep_.take(took), hash_.take(took), pa.array(links, pa.int64()), rep_.take(other), hash_.take(other)], ["rep", "set_hash", "links", "rep_b", "set_hash_b"])
 
-        got = tasks.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compare, "rep long, set_hash long, links long, rep_b long, set_hash_b long")
+        got = tasks.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(releasing(compare), "rep long, set_hash long, links long, rep_b long, set_hash_b long")
         other = F.when(F.col("rep_b").isNotNull(), F.struct(F.col("rep_b").alias("rep"), F.col("set_hash_b").alias("set_hash")))
         self._marks = materialize(got.select(F.struct("rep", "set_hash").alias("node"), "links", other.alias("other")))
         return self._marks

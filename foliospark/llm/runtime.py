@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,6 +124,26 @@ def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_ROWS)
 
 
+def release() -> None:
+    """Give what this process has freed back to the system. Python workers outlive their tasks, and would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with release() at the end of the partition."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow over batches of few rows. Spark bounds the bytes of those that it sends (64 MB), which a single longer text alone exceeds."""
-    return df.mapInArrow(lambda batches: run(in_slices(batches)), schema)
+    return df.mapInArrow(releasing(lambda batches: run(in_slices(batches))), schema)

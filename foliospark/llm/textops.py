@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SPACE, WORD, PUNCT = 0, 1, 2
 
 _b = np.arange(256)
