@@ -30,10 +30,10 @@ def page_text(regions: DataFrame, minimum: float | None = None, by_order: bool =
     return kept.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda r: r["text"]), " ").alias("page_text"))
 
 
-def _confidence_aggregates() -> list[Column]:
+def _confidence_aggregates(regions: DataFrame) -> list[Column]:
     c = F.col("confidence")
     return [
-        F.avg(c).alias("mean"), F.median(c).alias("median"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std_dev"), F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.sort_array(F.collect_list(c)).alias("_all"),
+        X.mean_in_order(c, *[k for k in ("line_no",) if k in regions.columns]).alias("mean"), F.median(c).alias("median"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std_dev"), F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.sort_array(F.collect_list(c)).alias("_all"),
         F.count_if(c < 0.5).alias("low_count"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium_count"), F.count_if(c >= 0.8).alias("high_count"),
     ]
 
@@ -48,7 +48,7 @@ def _with_confidence(g: DataFrame) -> DataFrame:
 
 def confidence_metrics(regions: DataFrame) -> DataFrame:
     """Mean, median, sample deviation, extremes, nearest-rank percentiles and bands of each page."""
-    return _with_confidence(regions.groupBy(*PAGE).agg(*_confidence_aggregates()))
+    return _with_confidence(regions.groupBy(*PAGE).agg(*_confidence_aggregates(regions)))
 
 
 def _content_aggregates() -> list[Column]:
@@ -122,7 +122,7 @@ def assess(regions: DataFrame, pages: DataFrame | None = None, languages: DataFr
     worked out from the boxes and the page's size.
     """
     coverage = [F.least(F.sum(G.area()) / F.lit(float(width * height)), F.lit(1.0)).alias("text_coverage_ratio")] if pages is None else []
-    g = regions.groupBy(*PAGE).agg(*_confidence_aggregates(), *_content_aggregates(), *_layout_aggregates(), *coverage)
+    g = regions.groupBy(*PAGE).agg(*_confidence_aggregates(regions), *_content_aggregates(), *_layout_aggregates(), *coverage)
     if pages is not None:
         g = g.join(pages.select(*PAGE, "text_coverage_ratio"), PAGE)
     out = _with_layout(_with_content(_with_confidence(g), languages, None))

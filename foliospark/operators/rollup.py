@@ -23,11 +23,11 @@ def document_result(assessed: DataFrame, chunks: DataFrame, errors: DataFrame |
     errors: records of failed steps; a document with one that can't be recovered has failed, and is there even if nothing
     of it was processed. durations: (doc_id, seconds); they add seconds and pages_per_minute.
     """
-    pages = assessed.groupBy("doc_id").agg(F.count("*").alias("pages_processed"), F.count_if(~F.col("acceptable_for_rag")).alias("pages_failed"), F.avg("overall_score").alias("page_score"), F.sum("total_characters").alias("assessed_characters"), F.avg("mean").alias("page_confidence"))
+    pages = assessed.groupBy("doc_id").agg(F.count("*").alias("pages_processed"), F.count_if(~F.col("acceptable_for_rag")).alias("pages_failed"), X.mean_in_order(F.col("overall_score"), "page_number").alias("page_score"), F.sum("total_characters").alias("assessed_characters"), X.mean_in_order(F.col("mean"), "page_number").alias("page_confidence"))
     ready = chunks.withColumn("_ready", suitable_for_rag())
     parts = ready.groupBy("doc_id").agg(
         F.count("*").alias("total_chunks"), F.count_if(F.col("average_confidence") >= 0.8).alias("high_quality_chunks"), F.count_if("is_filtered").alias("filtered_chunks"), F.count_if("_ready").alias("rag_ready_chunks"),
-        F.avg("average_confidence").alias("chunk_confidence"), F.sum(F.length("content")).alias("chunk_characters"),
+        X.mean_in_order(F.col("average_confidence"), "page_number", "chunk_index").alias("chunk_confidence"), F.sum(F.length("content")).alias("chunk_characters"),
     )
     out = pages.join(parts, "doc_id", "left").fillna(0, ["total_chunks", "high_quality_chunks", "filtered_chunks", "rag_ready_chunks", "chunk_characters"])
     failed = errors and errors.groupBy("doc_id").agg(F.count("*").alias("n_errors"), F.max(~F.col("is_recoverable")).alias("fatal"))

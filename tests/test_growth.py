@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from foliospark.operators import quality as Q
 from foliospark.operators import tables as T
 from foliospark.plans import catalog
 
@@ -40,3 +41,11 @@ def test_texts_of_which_nothing_is_left_have_no_row(spark, tmp_path):
     texts = [None, "", " ", "\n \n", "one, two"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [x.doc_id for x in catalog.broken_paragraphs(spark, str(tmp_path)).collect()] == [4]
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    values = [0.1, 0.2, 0.3, 0.7, 0.6, 0.3]
+    at = [(1, 1, k, c, "some words here", 0.0, 50.0 * k, 9.0, 50.0 * k + 9, "paragraph", None) for k, c in enumerate(values)]
+    schema = "doc_id long, page_number int, line_no int, confidence double, text string, x1 double, y1 double, x2 double, y2 double, region_type string, reading_order int"
+    got = {Q.assess(spark.createDataFrame(rows, schema).coalesce(1)).first()["mean"] for rows in (at, at[::-1], at[2:] + at[:2])}
+    assert got == {sum(values[1:], values[0]) / 6}
