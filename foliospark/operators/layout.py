@@ -86,26 +86,31 @@ def column_reading_order(regions: DataFrame, tolerance: float = 50.0) -> DataFra
     return kept.withColumn("column_order", (F.row_number().over(order) - 1).cast("int")).select(*PAGE, "region_id", F.col("key").alias("column_key"), "column_order")
 
 
+def _owned(regions: DataFrame) -> DataFrame:
+    """Each page's _heads (headers and titles, by place) and _rest with the line of headers that owns each, from one aggregate: no join."""
+    is_head = F.col("region_type").isin("header", "title")
+    pages = regions.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(is_head, F.struct("y1", "line_no", "region_id")))).alias("_heads"), F.collect_list(F.when(~is_head, F.struct("y1", "region_id"))).alias("_rest"))
+    lines = F.col("_lines")
+    # A region belongs to the line of headers above it, unless it lies on the next one.
+    owner = lambda r: F.when(~F.array_contains(lines, r["y1"]), F.array_max(F.filter(lines, lambda h: h < r["y1"])))
+    owned = F.filter(F.transform("_rest", lambda r: F.struct(r["region_id"].alias("region_id"), owner(r).alias("head_y"))), lambda r: r["head_y"].isNotNull())
+    headed = pages.where(F.size("_heads") > 0).withColumn("_lines", F.array_distinct(F.transform("_heads", lambda h: h["y1"])))
+    return headed.withColumn("_rest", owned).drop("_lines")
+
+
 def hierarchy(regions: DataFrame) -> DataFrame:
     """parent_region_id of each region that isn't a header or title: the header above it, until the next one.
 
     Of headers on one line the last by place in the page owns the rest.
     """
-    is_head = F.col("region_type").isin("header", "title")
-    heads = regions.where(is_head).groupBy(*PAGE, F.col("y1").alias("head_y")).agg(F.max_by("region_id", "line_no").alias("parent_region_id"))
-    w = Window.partitionBy(*PAGE).orderBy("head_y")
-    heads = heads.withColumn("next_y", F.coalesce(F.lead("head_y").over(w), F.lit(float("inf"))))
-    child = regions.where(~is_head).select(*PAGE, "region_id", "y1")
-    return child.join(heads, PAGE).where("y1 > head_y and y1 < next_y").select(*PAGE, "region_id", "parent_region_id")
+    parent = lambda r: F.element_at(F.filter("_heads", lambda h: h["y1"] == r["head_y"]), -1)["region_id"]
+    return _owned(regions).select(*PAGE, F.inline(F.transform("_rest", lambda r: F.struct(r["region_id"].alias("region_id"), parent(r).alias("parent_region_id")))))
 
 
-def children(regions: DataFrame, links: DataFrame) -> DataFrame:
+def children(regions: DataFrame) -> DataFrame:
     """(header_id, n_children): every header of a line has all regions below it, until the next line of headers."""
-    heads = regions.where(F.col("region_type").isin("header", "title"))
-    lines = heads.select(*PAGE, F.col("y1").alias("head_y"), F.col("region_id").alias("header_id"))
-    owner = heads.select(*PAGE, F.col("y1").alias("head_y"), F.col("region_id").alias("parent_region_id"))
-    owned = links.join(owner, [*PAGE, "parent_region_id"])
-    return owned.join(lines, [*PAGE, "head_y"]).groupBy(*PAGE, "header_id").agg(F.count("*").alias("n_children"))
+    counted = F.transform("_heads", lambda h: F.struct(h["region_id"].alias("header_id"), F.size(F.filter("_rest", lambda r: r["head_y"] == h["y1"])).cast("long").alias("n_children")))
+    return _owned(regions).select(*PAGE, F.inline(F.filter(counted, lambda h: h["n_children"] > 0)))
 
 
 def analyze(regions: DataFrame) -> DataFrame:

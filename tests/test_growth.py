@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from foliospark.functions import language as N
+from foliospark.functions import splitters as S
 from foliospark.operators import quality as Q
 from foliospark.operators import tables as T
 from foliospark.plans import catalog
@@ -49,3 +51,24 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
     schema = "doc_id long, page_number int, line_no int, confidence double, text string, x1 double, y1 double, x2 double, y2 double, region_type string, reading_order int"
     got = {Q.assess(spark.createDataFrame(rows, schema).coalesce(1)).first()["mean"] for rows in (at, at[::-1], at[2:] + at[:2])}
     assert got == {sum(values[1:], values[0]) / 6}
+
+
+def test_hierarchy_joins_nothing(spark):
+    for name in ("hierarchy", "hierarchy_children"):
+        p = plan(catalog.QUERIES[name](spark, SF))
+        assert "Join" not in p and p.count("Exchange hashpartitioning") == 1, name
+
+
+def test_pieces_are_given_out_by_the_megabyte(spark):
+    docs = spark.createDataFrame([(k, "One sentence here. " * 60_000) for k in range(4)] + [(9, None), (10, "")], "doc_id long, text string").coalesce(1)
+    got = S.split_texts(docs, "sentence", 500, 100)
+    assert "MapInArrow" in plan(got) and sorted(x.doc_id for x in got.select("doc_id").distinct().collect()) == [0, 1, 2, 3]
+
+
+def test_language_is_worked_out_once(spark):
+    p = plan(spark.range(1).selectExpr("cast(id as string) t").select(N.engine_code(N.detect(F.col("t"))).alias("l")))
+    assert p.count("split(") == 1
+
+
+def test_entities_sort_tokens_once(spark):
+    assert plan(catalog.bio_entities(spark, SF)).count("Sort [") == 1
