@@ -23,17 +23,26 @@ def _hits(listed: Column, known: list[str]) -> Column:
 def detect(text: Column, default: str = "en", least: int = 20) -> Column:
     """The language with the most stop words in the text, the first by name of equal ones; the default for texts of `least` characters or fewer, or without any."""
     listed = X.words(F.regexp_replace(F.lower(text), r"[.,;:!?()\"]+", " "))
-    hits = {k: _hits(listed, STOP_WORDS[k]) for k in sorted(STOP_WORDS)}
-    most = F.greatest(*hits.values())
-    found = F.lit(default)
-    for k in sorted(STOP_WORDS, reverse=True):
-        found = F.when((hits[k] == most) & (most > 0), k).otherwise(found)
-    return F.when(F.length(X.strip(text)) > least, found).otherwise(F.lit(default))
+    known = sorted(STOP_WORDS)
+
+    def chosen(hits: Column) -> Column:
+        found = F.lit(default)
+        for i, k in reversed(list(enumerate(known))):
+            found = F.when((hits[i] == F.array_max(hits)) & (hits[i] > 0), k).otherwise(found)
+        return found
+
+    # Words and counts are bound as arguments of functions: named twice, an expression is worked out twice.
+    hits = F.transform(F.array(listed), lambda w: F.array(*[_hits(w, STOP_WORDS[k]) for k in known]))
+    return F.when(F.length(X.strip(text)) > least, F.transform(hits, chosen)[0]).otherwise(F.lit(default))
 
 
 def engine_code(language: Column) -> Column:
     """A language as recognition engines name it."""
-    out = language
-    for code, name in ENGINE_CODES.items():
-        out = F.when(F.lower(language) == code, name).otherwise(out)
-    return out
+
+    def named(found: Column) -> Column:
+        out = found
+        for code, name in ENGINE_CODES.items():
+            out = F.when(F.lower(found) == code, name).otherwise(out)
+        return out
+
+    return F.transform(F.array(language), named)[0]
