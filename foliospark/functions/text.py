@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str.split() has it, for the inside of a character class.
-WHITE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as Python's str.split() has it.
+BLANKS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same for the inside of a character class. Single characters of Latin-1 are one bit set, and the rest is asked for only in its range: ranges side by side are tried one after the other for each letter.
+WHITE = r"\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 SPACE, INK = f"[{WHITE}]", f"[^{WHITE}]"
 
 
@@ -29,7 +31,7 @@ def word_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_region(text: Column) -> Column:

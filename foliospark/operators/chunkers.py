@@ -169,11 +169,12 @@ def describe(chunks: DataFrame, config: ChunkerConfig, strategy: str) -> DataFra
 
 
 def filter_reason(content: Column, average: Column, config: ChunkerConfig) -> Column:
-    words = X.word_count(content)
+    # The words are worked out once, as the variable of the inner function.
+    artifacts = F.exists(F.array(X.words(content)), lambda w: X.ratio(X.single_of(w), F.size(w)) > 0.5)
     return (
         F.when(F.length(X.strip(content)) < config.min_chunk_size, "Content too short")
         .when(average < config.confidence_threshold, F.concat(F.lit("Low confidence: "), X.two(average)))
-        .when(X.ratio(X.single_char_words(content), words) > 0.5, "Too many single-character artifacts")
+        .when(artifacts, "Too many single-character artifacts")
         .when(X.ratio(X.alnum(content), F.length(content)) < 0.3, "Mostly non-alphanumeric content")
     )
 

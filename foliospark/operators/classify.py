@@ -10,6 +10,8 @@ from foliospark.functions import text as X
 
 HIERARCHY = {"title": 0, "header": 1, "paragraph": 2, "list": 3, "caption": 4, "footer": 5}
 KEYWORDS = "figure|table|chart|graph|image"
+#: KEYWORDS, fig. and tab. in any case, told apart by their first letter: texts needn't be made lower case. No letter beyond ASCII has one of theirs as its lower case, but the dotted I, whose dot stays.
+CAPTION = r"(?=[fFtTcCgGiI])(?:[fF][iI][gG](?:[uU][rR][eE]|\.)|[tT][aA][bB](?:[lL][eE]|\.)|[cC][hH][aA][rR][tT]|[gG][rR][aA][pP][hH]|[iI][mM][aA][gG][eE])"
 
 
 def _numbered(text: Column) -> Column:
@@ -29,7 +31,7 @@ def layout_type(width: Column, height: Column, current: Column) -> Column:
         .when(F.col("y1") > height * 0.9, "footer")
         .when((n < 80) & open_ & (F.abs(G.center_x() - width / 2) < width * 0.1), "title")
         .when(_bullet(text, "•·\\-*○■") | _numbered(text), "list")
-        .when(F.lower(text).rlike(f"{KEYWORDS}|fig\\.|tab\\."), "caption")
+        .when(text.rlike(CAPTION), "caption")
         .otherwise(F.when(current == "unknown", "paragraph").otherwise(current))
     )
 

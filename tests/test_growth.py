@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import language as N
 from foliospark.functions import splitters as S
+from foliospark.functions import text as X
+from foliospark.operators import chunkers as C
+from foliospark.operators import classify as K
 from foliospark.operators import quality as Q
 from foliospark.operators import tables as T
 from foliospark.plans import catalog
+from foliospark.schema import ChunkerConfig
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +76,25 @@ def test_language_is_worked_out_once(spark):
 
 def test_entities_sort_tokens_once(spark):
     assert plan(catalog.bio_entities(spark, SF)).count("Sort [") == 1
+
+
+def test_types_need_no_lower_case_and_no_regex_to_strip(spark):
+    for name in ("chunks_layout_aware", "chunks_mixed", "chunks_confidence", "paragraph_groups", "list_groups"):
+        p = plan(catalog.QUERIES[name](spark, SF))
+        assert "lower(" not in p and "regexp_replace(text" not in p, name
+
+
+def test_words_of_a_chunk_are_worked_out_once_to_filter_it(spark):
+    p = plan(spark.range(1).selectExpr("cast(id as string) c", "0.9d a").select(C.filter_reason(F.col("c"), F.col("a"), ChunkerConfig()).alias("r")))
+    assert p.count("split(") == 1
+
+
+def test_white_space_and_captions_over_all_characters(spark):
+    """Against Python: what is white is the same at the ends of texts, between words and next to letters; keywords are found in any case."""
+    chars = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    t = F.concat("c", F.lit("x"), "c", "c", F.lit("y"), "c")
+    df = spark.createDataFrame([(c, len(f"{c}x{c}{c}y{c}".split()), f"{c}x{c}{c}y{c}".strip()) for c in chars], "c string, n int, s string")
+    assert df.where((X.word_count(t) != F.col("n")) | (X.strip(t) != F.col("s"))).count() == 0
+    keyed = F.concat(F.lit("f"), "c", F.lit("gure"))
+    assert [x.c for x in df.where(keyed.rlike(K.CAPTION)).collect()] == ["I", "i"]
+    assert df.where(F.lower(keyed).rlike("figure") != keyed.rlike(K.CAPTION)).count() == 0
