@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's str.split() has it.
@@ -141,21 +141,37 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def _undotted(text: Column) -> Column:
+    """The one letter beyond ASCII whose lower case has a vowel, as that lower case: vowels can then be looked for in both cases, and texts needn't be made lower case."""
+    return F.replace(text, F.lit("\u0130"), F.lit("i\u0307"))
+
+
 def syllables(text: Column) -> Column:
-    return F.regexp_count(F.lower(text), F.lit("[aeiouy]+"))
+    return F.regexp_count(_undotted(text), F.lit(f"[{VOWELS}]+"))
 
 
+VOWELS = "aeiouyAEIOUY"
 #: A word from its first vowel on, if it has three groups of vowels.
-HARD = rf"[aeiouy]++[^aeiouy{WHITE}]++[aeiouy]++[^aeiouy{WHITE}]++[aeiouy]{INK}*+"
+HARD = rf"[{VOWELS}]++[^{VOWELS}{WHITE}]++[{VOWELS}]++[^{VOWELS}{WHITE}]++[{VOWELS}]{INK}*+"
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Published formulas over characters, words, sentences and vowel groups; nulls for texts without words. One pass over the text for each measure."""
-    w = F.nullif(F.regexp_count(text, F.lit(f"{INK}+")), F.lit(0)).cast("double")
-    s = F.greatest(sentences(text), F.lit(1)).cast("double")
-    chars, syl = alnum(text).cast("double"), syllables(text).cast("double")
-    hard = F.regexp_count(F.lower(text), F.lit(HARD)).cast("double")
+def text_counts(text: Column) -> dict[str, Column]:
+    """What readability is made of: words, sentences, letters and digits, vowel groups and hard words. One pass over the text for each."""
     return {
+        "_words": F.regexp_count(text, F.lit(f"{INK}+")), "_sentences": sentences(text), "_chars": alnum(text),
+        "_syllables": syllables(text), "_hard": F.regexp_count(_undotted(text), F.lit(HARD)),
+    }
+
+
+def readability(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Published formulas over characters, words, sentences and vowel groups of `text`; nulls for texts without words.
+
+    The counts are columns of the rows returned, so that formulas name them instead of working them out once more.
+    """
+    w = F.when(F.col("_words") != 0, F.col("_words").cast("double"))
+    s = F.greatest(F.col("_sentences"), F.lit(1)).cast("double")
+    chars, syl, hard = (F.col(c).cast("double") for c in ("_chars", "_syllables", "_hard"))
+    return docs.withColumns(text_counts(F.col("text"))), {
         "ari": 4.71 * chars / w + 0.5 * w / s - 21.43,
         "coleman_liau": 0.0588 * (100 * chars / w) - 0.296 * (100 * s / w) - 15.8,
         "flesch": 206.835 - 1.015 * w / s - 84.6 * syl / w,

@@ -68,11 +68,11 @@ def unassessed(regions: DataFrame) -> DataFrame:
 
 def text_scores(docs: DataFrame) -> DataFrame:
     """Readability of each whole text, its measures' plain mean, and one from 0 to 1."""
-    m = X.readability(F.col("text"))
+    counted, m = X.readability(docs)
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    scores = docs.select(
+    scores = counted.select(
         "doc_id", (m["flesch"] / 100).alias("flesch"), F.least(m["fog"] / 20, F.lit(1.0)).alias("fog"), F.least(m["ari"] / 20, F.lit(1.0)).alias("ari"), F.least(m["coleman_liau"] / 20, F.lit(1.0)).alias("coleman_liau"),
-        m["difficult_ratio"].alias("difficult_ratio"), X.sentences(F.col("text")).cast("double").alias("sentence_count"),
+        m["difficult_ratio"].alias("difficult_ratio"), F.col("_sentences").cast("double").alias("sentence_count"),
     )
     values = F.filter(F.array("flesch", "fog", "ari", "coleman_liau", "difficult_ratio", "sentence_count"), lambda v: v.isNotNull())
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)

@@ -98,3 +98,17 @@ def test_white_space_and_captions_over_all_characters(spark):
     keyed = F.concat(F.lit("f"), "c", F.lit("gure"))
     assert [x.c for x in df.where(keyed.rlike(K.CAPTION)).collect()] == ["I", "i"]
     assert df.where(F.lower(keyed).rlike("figure") != keyed.rlike(K.CAPTION)).count() == 0
+
+
+def test_readability_counts_are_worked_out_once(spark):
+    p = catalog.readability(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("regexp_extract_all(") == 4 and p.count("regexp_replace(") == 1 and "lower(" not in p
+
+
+def test_vowels_are_the_same_as_of_the_lower_case(spark):
+    texts = ["İa", "İbİbİb", "AEbIoBU", "Ka", "ÅaÉe", "bAbEbIb Ab", "a E　I"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    vowels = X.VOWELS[:6]
+    hard = rf"[{vowels}]++[^{vowels}{X.WHITE}]++[{vowels}]++[^{vowels}{X.WHITE}]++[{vowels}]{X.INK}*+"
+    counts = X.text_counts(F.col("t"))
+    assert df.where((F.regexp_count(F.lower("t"), F.lit(f"[{vowels}]+")) != counts["_syllables"]) | (F.regexp_count(F.lower("t"), F.lit(hard)) != counts["_hard"])).count() == 0
