@@ -66,12 +66,15 @@ def unassessed(regions: DataFrame) -> DataFrame:
     return pages.withColumns({"overall_score": F.lit(0.0), "acceptable_for_rag": F.lit(True)})
 
 
-def text_scores(docs: DataFrame) -> DataFrame:
-    """Readability of each whole text, its measures' plain mean, and one from 0 to 1."""
+SCORES = ("flesch", "fog", "ari", "coleman_liau", "difficult_ratio", "sentence_count", "overall_score_raw", "overall_score_bounded")
+
+
+def text_scores(docs: DataFrame, *more: str) -> DataFrame:
+    """Readability of each whole text, its measures' plain mean, and one from 0 to 1. more: columns to keep."""
     counted, m = X.readability(docs)
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     scores = counted.select(
-        "doc_id", (m["flesch"] / 100).alias("flesch"), F.least(m["fog"] / 20, F.lit(1.0)).alias("fog"), F.least(m["ari"] / 20, F.lit(1.0)).alias("ari"), F.least(m["coleman_liau"] / 20, F.lit(1.0)).alias("coleman_liau"),
+        "doc_id", *more, (m["flesch"] / 100).alias("flesch"), F.least(m["fog"] / 20, F.lit(1.0)).alias("fog"), F.least(m["ari"] / 20, F.lit(1.0)).alias("ari"), F.least(m["coleman_liau"] / 20, F.lit(1.0)).alias("coleman_liau"),
         m["difficult_ratio"].alias("difficult_ratio"), F.col("_sentences").cast("double").alias("sentence_count"),
     )
     values = F.filter(F.array("flesch", "fog", "ari", "coleman_liau", "difficult_ratio", "sentence_count"), lambda v: v.isNotNull())
@@ -81,12 +84,22 @@ def text_scores(docs: DataFrame) -> DataFrame:
     return scores.withColumn("overall_score_raw", mean).withColumn("overall_score_bounded", bounded)
 
 
+def merged_texts(elements: DataFrame) -> DataFrame:
+    item = F.struct("pos", "text")
+    return elements.where("text <> ''").groupBy(F.col("page_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["text"]), "\n\n").alias("text"))
+
+
 def text_pipeline(elements: DataFrame, config: TextConfig = TextConfig(), strategy: str = "recursive") -> tuple[DataFrame, DataFrame]:
     """Elements (page_id, pos, type, text) to (chunks, scores) of each page's merged text."""
-    item = F.struct("pos", "text")
-    merged = elements.where("text <> ''").groupBy(F.col("page_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["text"]), "\n\n").alias("text"))
+    merged = merged_texts(elements)
     return split_texts(merged, strategy, config.chunk_size, config.chunk_overlap), text_scores(merged)
 
 
+def scored_chunks(elements: DataFrame, config: TextConfig = TextConfig(), strategy: str = "recursive") -> DataFrame:
+    """Chunks, each with the scores of its page's text: those two joined, but pages are read and merged once. Elements without a page are left out, as a join leaves them."""
+    scored = text_scores(merged_texts(elements.where("page_id is not null")), "text")
+    return split_texts(scored, strategy, config.chunk_size, config.chunk_overlap, SCORES)
+
+
 def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     return docs.select("doc_id", F.posexplode(X.fixed_windows(F.col("text"), size, overlap)).alias("chunk_index", "chunk"))

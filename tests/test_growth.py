@@ -12,6 +12,7 @@ from foliospark.operators import classify as K
 from foliospark.operators import quality as Q
 from foliospark.operators import tables as T
 from foliospark.plans import catalog
+from foliospark.plans import pipeline as W
 from foliospark.schema import ChunkerConfig
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +113,17 @@ def test_vowels_are_the_same_as_of_the_lower_case(spark):
     hard = rf"[{vowels}]++[^{vowels}{X.WHITE}]++[{vowels}]++[^{vowels}{X.WHITE}]++[{vowels}]{X.INK}*+"
     counts = X.text_counts(F.col("t"))
     assert df.where((F.regexp_count(F.lower("t"), F.lit(f"[{vowels}]+")) != counts["_syllables"]) | (F.regexp_count(F.lower("t"), F.lit(hard)) != counts["_hard"])).count() == 0
+
+
+def test_pages_are_merged_once_for_chunks_and_scores(spark):
+    p = plan(catalog.text_pipeline(spark, SF))
+    assert "Join" not in p and p.count("Scan parquet") == 1
+
+
+def test_chunks_with_scores_equal_chunks_joined_with_scores(spark):
+    rows = [(1, 0, "One sentence here. " * 200), (1, 1, "Another, with İ."), (2, 0, "..."), (3, 0, ""), (4, 0, None), (None, 0, "of no page")]
+    elements = spark.createDataFrame(rows, "page_id long, pos int, text string")
+    chunks, scores = W.text_pipeline(elements)
+    want = chunks.join(scores, "doc_id")
+    got = W.scored_chunks(elements)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() > 3
