@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from importlib.util import find_spec
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
@@ -53,35 +53,27 @@ def run_engines(pages: DataFrame, engines: list[tuple[str, Callable[[], RegionSo
     measure = metrics or page_metrics
     todo = preprocess_pages(pages, steps).drop("applied") if steps else pages
     docs = pages.select("doc_id").distinct()
-    kept, left = [], docs
+    each = measured = passed = None
     for k, (name, make) in enumerate(engines):
-        mine = todo if parallel or k == 0 else todo.join(left, "doc_id", "left_semi")
+        mine = todo if parallel or k == 0 else todo.join(passed, "doc_id", "left_anti")
         read = recognize(mine, make).withColumns({"engine": F.lit(name), "priority": F.lit(k)}).persist()
-        kept.append(read)
-        if parallel:
-            continue
-        if not enable_fallback:
+        if not parallel and not enable_fallback:
             return read, docs.join(read, "doc_id", "left_anti")
-        good = gate(_measured(read, measure)).where("passes").select("doc_id")
-        left = left.join(good, "doc_id", "left_anti")
-    each = kept[0]
-    for r in kept[1:]:
-        each = each.unionByName(r)
-    measured = _measured(each, measure)
-    chosen = (best_of if parallel else fallback)(measured).select("doc_id", "engine")
-    return each.join(chosen, ["doc_id", "engine"]), docs.join(chosen, "doc_id", "left_anti")
-
-
-def _measured(read: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Measures of each page and engine; a failed page has confidence and coverage 0."""
-    parts = None
-    for name, k in read.select("engine", "priority").distinct().collect():
-        own = read.where((F.col("engine") == name) & (F.col("priority") == k))
-        good = measure(own.where("error is null")).select("doc_id", "page_number", "overall_confidence", "text_coverage_ratio")
-        failed = own.where("error is not null").select("doc_id", "page_number", F.lit(0.0).alias("overall_confidence"), F.lit(0.0).alias("text_coverage_ratio"))
-        both = good.unionByName(failed).withColumns({"engine": F.lit(name), "priority": F.lit(k)})
-        parts = both if parts is None else parts.unionByName(both)
-    return parts if parts is not None else read.select("doc_id", "page_number", F.col("confidence").alias("overall_confidence"), F.col("confidence").alias("text_coverage_ratio"), "engine", "priority").limit(0)
+        each = read if each is None else each.unionByName(read)
+        # A row for each document and engine, kept as well: later engines and the choice ask for it again.
+        own = gate(_measured(read, measure, name, k)).persist()
+        measured = own if measured is None else measured.unionByName(own)
+        good = own.where("passes").select("doc_id")
+        passed = good if passed is None else passed.unionByName(good)
+    chosen = first_of(measured, X.r6(F.col("average_all")).desc(), "priority") if parallel else first_of(measured, "priority")
+    return each.join(chosen.select("doc_id", "engine"), ["doc_id", "engine"]), docs.join(passed, "doc_id", "left_anti")
+
+
+def _measured(read: DataFrame, measure: Callable[[DataFrame], DataFrame], engine: str, priority: int) -> DataFrame:
+    """Measures of each page that an engine read; a failed page has confidence and coverage 0."""
+    good = measure(read.where("error is null")).select("doc_id", "page_number", "overall_confidence", "text_coverage_ratio")
+    failed = read.where("error is not null").select("doc_id", "page_number", F.lit(0.0).alias("overall_confidence"), F.lit(0.0).alias("text_coverage_ratio"))
+    return good.unionByName(failed).withColumns({"engine": F.lit(engine), "priority": F.lit(priority)})
 
 
 def errors_of(recognized: DataFrame, step: str = "ocr_extraction", recoverable: bool = False) -> DataFrame:
@@ -100,6 +92,21 @@ def model_confidence(texts: DataFrame) -> DataFrame:
     return texts.where("text is not null").groupBy("doc_id").agg(F.count("*").alias("models"), F.avg("confidence").alias("mean_confidence"))
 
 
+def _listed(column: pa.Array) -> list:
+    """A column's values. Lists of records are converted a field at a time, not a record at a time."""
+    kind = column.type
+    if not pa.types.is_list(kind) or not pa.types.is_struct(kind.value_type) or not kind.value_type.num_fields or column.values.null_count:
+        return column.to_pylist()
+    at, records = column.offsets.to_pylist(), column.values
+    names = [f.name for f in kind.value_type]
+    made = [dict(zip(names, r)) for r in zip(*[records.field(k).to_pylist() for k in range(len(names))])]
+    return [made[a:b] if there else None for a, b, there in zip(at, at[1:], column.is_valid().to_pylist())]
+
+
+def _records(batch: pa.RecordBatch) -> list[dict]:
+    return [dict(zip(batch.schema.names, r)) for r in zip(*map(_listed, batch.columns))]
+
+
 def recognize(pages: DataFrame, make: Callable[[], RegionSource]) -> DataFrame:
     """Regions of all pages. A page that fails gives one row with the error and nothing else."""
 
@@ -107,13 +114,13 @@ def recognize(pages: DataFrame, make: Callable[[], RegionSource]) -> DataFrame:
         source = make()
         for batch in batches:
             rows = []
-            for page in batch.to_pylist():
+            for page in _records(batch):
                 base = {"doc_id": page["doc_id"], "page_number": page["page_number"]}
                 try:
                     rows += [base | {"line_no": k} | r for k, r in enumerate(source.read(page))]
                 except Exception as e:  # a page that can't be read is a result, not the end of the job
                     rows.append(base | {"error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, REGION_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in REGION_ARROW], schema=REGION_ARROW)
 
     return pages.mapInArrow(run, REGION_SCHEMA)
 
@@ -198,8 +205,13 @@ def unresolved(engine_pages: DataFrame) -> DataFrame:
 
 def best_of(engine_pages: DataFrame) -> DataFrame:
     """Of the engines that pass the one of the best average over all pages; of equal ones the earlier."""
-    first = Window.partitionBy("doc_id").orderBy(X.r6(F.col("average_all")).desc(), "priority")
-    return gate(engine_pages).where("passes").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return first_of(gate(engine_pages), X.r6(F.col("average_all")).desc(), "priority")
+
+
+def first_of(gated: DataFrame, *order: Column | str) -> DataFrame:
+    """Of each document's engines that pass the first in an order."""
+    first = Window.partitionBy("doc_id").orderBy(*order)
+    return gated.where("passes").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def longest_text(texts: DataFrame) -> DataFrame:

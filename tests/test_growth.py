@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliospark.functions import language as N
@@ -9,6 +10,7 @@ from foliospark.functions import splitters as S
 from foliospark.functions import text as X
 from foliospark.operators import chunkers as C
 from foliospark.operators import classify as K
+from foliospark.operators import engines as E
 from foliospark.operators import quality as Q
 from foliospark.operators import tables as T
 from foliospark.plans import catalog
@@ -127,3 +129,21 @@ def test_chunks_with_scores_equal_chunks_joined_with_scores(spark):
     want = chunks.join(scores, "doc_id")
     got = W.scored_chunks(elements)
     assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() > 3
+
+
+def test_engines_are_planned_without_a_job_and_measured_once(spark):
+    group = "engines planned"
+    pages = spark.sql("select id doc_id, 1 page_number, array(named_struct('text', 'x', 'confidence', 0.9d, 'x1', 0d, 'y1', 0d, 'x2', 600d, 'y2', 600d)) regions from range(3)")
+    spark.sparkContext.setJobGroup(group, group)
+    found, left = E.run_engines(pages, [("one", E.PrecomputedSource), ("two", E.PrecomputedSource)])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    assert [x.engine for x in found.collect()] == ["one"] * 3 and not left.collect()
+
+
+def test_records_of_pages_field_by_field():
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.string())]))
+    values = [[{"a": 1, "b": "x"}, {"a": None, "b": None}], None, [], [{"a": 2, "b": "y"}], [None, {"a": 3, "b": "z"}]]
+    for some in (values[:4], values, [None], []):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int64()), pa.array(some, kind)], ["doc_id", "regions"])
+        assert [E._records(batch.slice(k)) for k in range(3)] == [batch.slice(k).to_pylist() for k in range(3)]
